@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridhead.llm import langid, quality, token_counts, url_filter, warc
+from gridhead.llm import langid, near_dup, quality, token_counts, url_filter, warc
 from gridhead.llm.common import table
 
 
@@ -32,7 +32,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_language_id, op4_url_filter, op7_token_counts, op8_quality)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_language_id, op4_url_filter, op7_token_counts, op8_quality, op9_near_duplicates)}
 
 ORACLES = {
     "op1_warc_revisits": """
