@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridhead.llm import decontaminate, langid, near_dup, pieces, quality, token_counts, url_filter, warc
+from gridhead.llm import decontaminate, langid, near_dup, pieces, quality, suffix_dedup, token_counts, url_filter, warc
 from gridhead.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids", "round_trip")
@@ -45,7 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_language_id, op4_url_filter, op6_sentencepiece, op7_token_counts, op8_quality, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_language_id, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_token_counts, op8_quality, op9_near_duplicates, op10_decontaminate)}
 
 ORACLES = {
     "op1_warc_revisits": """
