@@ -28,9 +28,9 @@ from gridhead.llm.common import mix, partitions, written
 #: Bytes of a string that must not occur twice, and of an anchor.
 LENGTH, ANCHOR = 200, 64
 #: Bytes of text that are hashed at once, and stretches that are indexed at once (all of an anchor together).
-BLOCK_BYTES, BATCH = 3_000_000, 600
+BLOCK_BYTES, BATCH = 3_000_000, 240
 #: Bytes of a symbol of the index; divides `LENGTH`.
-SYMBOL = 4
+SYMBOL = 8
 #: From so many stretches of one anchor in a block on, only their sum goes to the anchor's bucket.
 HOT = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -159,6 +159,14 @@ def _repeated(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(select, "h long, f long, key long, at int, span int, m long")
 
 
+def _sorted(codes: np.ndarray) -> np.ndarray:
+    """The stable order of the codes, by halves of 16 bits where they are wider (short codes are counted, not compared)."""
+    if codes.itemsize <= 2:
+        return np.argsort(codes, kind="stable")
+    order = np.argsort(codes.astype(np.uint16), kind="stable")
+    return order[np.argsort((codes >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 def suffix_index(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, offset and common prefix with the one before of all suffixes (the empty ones first) in their order.
 
@@ -178,7 +186,7 @@ def suffix_index(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
         before[place] = flat[ends[owner] - 1 - j]
         who = np.full(len(before), -1, np.int32)
         who[place] = owner
-        order = np.argsort(before, kind="stable")
+        order = _sorted(before)
         order = order[len(before) - np.count_nonzero(before) :]  # by symbol, then by what follows it
         chosen = who[order]
         rank = np.flatnonzero(chosen >= 0)
@@ -202,7 +210,7 @@ def suffix_index(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
         common[place[below] + 1] = least[above.sum() :] + 1
         before, prefix = grown, common
     # walk back from the empty suffixes to name every entry
-    order = np.argsort(before, kind="stable")[len(before) - np.count_nonzero(before) :]
+    order = _sorted(before)[len(before) - np.count_nonzero(before) :]
     to = np.zeros(len(before), np.int64)
     to[order] = m + np.arange(len(order))
     string, offset = np.zeros(len(before), np.int64), np.zeros(len(before), np.int64)
