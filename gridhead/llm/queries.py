@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridhead.llm import decontaminate, langid, near_dup, pieces, quality, suffix_dedup, token_counts, url_filter, warc
+from gridhead.llm import ann, decontaminate, langid, near_dup, pieces, quality, suffix_dedup, token_counts, url_filter, warc
 from gridhead.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_language_id, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_token_counts, op8_quality, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_token_counts, op8_quality, op9_near_duplicates, op10_decontaminate)}
 
 ORACLES = {
     "op1_warc_revisits": """
