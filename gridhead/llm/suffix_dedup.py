@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -352,8 +353,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Where a span cuts a character, the rest of that character goes too. Every row stays, if need be with an empty text.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def rest(texts: pd.Series, runs: pd.Series) -> pd.Series:
         out = [kept(t.encode("utf-8", "surrogatepass"), spans([(r["at"], r["starts"]) for r in rs])).decode("utf-8", "ignore") if rs is not None and t is not None else t for t, rs in zip(texts, runs, strict=True)]
