@@ -49,17 +49,21 @@ def headers_of(cells: Column) -> Column:
     return F.filter(every, lambda h: h["name"] != "")
 
 
-def preview_columns(headers: Column) -> Column:
+def preview_columns(ordered: Column) -> Column:
     """Array of (first place, name, place): each name once, in the order of first places, with the last column of that name.
 
-    Found by sorting, so that it stays cheap for very wide rows.
+    `ordered` is a column of the header structs sorted by name and place (`by_name`), so that this stays cheap for very wide rows.
     """
-    ordered = F.array_sort(F.transform(headers, lambda h: F.struct(h["name"].alias("name"), h["column_index"].alias("place"))))
     first = F.filter(ordered, lambda h, i: (i == 0) | (F.get(ordered, i - 1)["name"] != h["name"]))
     last = F.filter(ordered, lambda h, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["name"] != h["name"]))
     return F.array_sort(F.zip_with(first, last, lambda a, b: F.struct(a["place"].alias("first"), a["name"].alias("name"), b["place"].alias("place"))))
 
 
+def by_name(headers: Column) -> Column:
+    """The headers as (name, place), sorted."""
+    return F.array_sort(F.transform(headers, lambda h: F.struct(h["name"].alias("name"), h["column_index"].alias("place"))))
+
+
 def preview_value(cells: Column, place: Column) -> Column:
     """The raw cell; the empty text where the row is too short."""
     return F.when(place < F.size(cells), F.get(cells, place)).otherwise("")
@@ -94,7 +98,7 @@ def sheets(scored: DataFrame, max_rows: int = MAX_ROWS, preview: int = PREVIEW)
     codes = F.transform(F.filter("rows", lambda r: r["row_idx"] < max_rows), lambda r: _code(r["score"], r["row_idx"], max_rows))
     score, index = _decoded(F.col("_code"), max_rows)
     picked = whole.withColumn("n_rows", F.size("rows")).withColumn("_code", F.array_max(codes)).withColumn("_index", F.when(score > 0, index)).withColumn("_header", F.get("rows", F.col("_index")))
-    named = picked.withColumn("headers", headers_of(F.col("_header.cells")))
+    named = picked.withColumn("headers", headers_of(F.col("_header.cells"))).withColumn("_ordered", by_name(F.col("headers")))
     return named.select(
         "sheet_id",
         "sheet_name",
@@ -104,7 +108,7 @@ def sheets(scored: DataFrame, max_rows: int = MAX_ROWS, preview: int = PREVIEW)
         F.when(F.col("_index").isNotNull(), confidence(score)).alias("confidence_score"),
         F.col("_header.row_no").alias("sheet_row_no"),
         "headers",
-        preview_columns(F.col("headers")).alias("columns"),
+        preview_columns(F.col("_ordered")).alias("columns"),
         F.when(F.col("_index").isNotNull(), F.slice("rows", F.col("_index") + 2, preview)).alias("below"),
     )
 

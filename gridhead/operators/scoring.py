@@ -52,15 +52,15 @@ def enough_cells(score: Column) -> Column:
     return F.when(F.col("n_nonempty") < 2, 0).otherwise(score)
 
 
-def rows_below(lookahead: int = LOOKAHEAD) -> Column:
-    """How many of the next rows have at least two cells and at least half as many as this one."""
+def rows_below(profiled: DataFrame, lookahead: int = LOOKAHEAD) -> DataFrame:
+    """Adds `rows_below`: how many of the next rows have at least two cells and at least half as many as this one."""
     order = Window.partitionBy("sheet_id").orderBy("row_idx")
-    following = [F.lead("n_nonempty", j).over(order) for j in range(1, lookahead + 1)]
-    useful = [F.when((n >= 2) & (2 * n >= F.col("n_nonempty")), 1).otherwise(0) for n in following]
-    return sum(useful[1:], useful[0]) if useful else F.lit(0)
+    following = {f"_next{j}": F.lead("n_nonempty", j).over(order) for j in range(1, lookahead + 1)}
+    useful = [F.when((F.col(c) >= 2) & (2 * F.col(c) >= F.col("n_nonempty")), 1).otherwise(0) for c in following]
+    return profiled.withColumns(following).withColumn("rows_below", sum(useful, F.lit(0))).drop(*following)
 
 
 def row_scores(kept: DataFrame, lookahead: int = LOOKAHEAD, longest: int = LONG) -> DataFrame:
     """`kept_rows` with profile, `rows_below` and `score`."""
-    scored = row_profile(kept, longest).withColumn("rows_below", rows_below(lookahead))
+    scored = rows_below(row_profile(kept, longest), lookahead)
     return scored.withColumn("score", enough_cells(static_score() + BELOW_POINTS * F.col("rows_below")))

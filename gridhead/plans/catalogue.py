@@ -172,7 +172,7 @@ def static_score_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(_LEDGER, _CELLS, _KEPT, _PROFILED, _SCORED, then="SELECT sheet_id, row_idx, rows_below FROM s WHERE row_idx < 30"))
 def rows_below_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = row_profile(kept_rows(fixtures.ledger_sheets(spark, sf_dir))).withColumn("rows_below", rows_below())
+    rows = rows_below(row_profile(kept_rows(fixtures.ledger_sheets(spark, sf_dir))))
     return rows.where("row_idx < 30").select("sheet_id", "row_idx", "rows_below")
 
 
