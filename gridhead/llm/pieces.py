@@ -20,19 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridhead.llm.common import blocks
 
 #: Fixed value: what the model writes for a blank.
 BLANK = "▁"
 #: Words whose encodings a task keeps at most; bytes of one index at most (a longer word is one of its own).
-KEPT_WORDS = 400_000
-INDEX_BYTES = 1 << 20
+KEPT_WORDS = 250_000
+INDEX_BYTES = 1 << 18
 #: Code points that are cut into words at once.
-CHARS = 4_000_000
+CHARS = 1_000_000
 _SEPARATOR, _ZERO = 0xFF, 0xFE  # bytes that UTF-8 never uses: between words, and for U+0000
 _WORD = regex.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _NEVER = np.int64(1 << 40)
@@ -80,6 +82,11 @@ class Model:
         self.bytes = np.zeros((len(coded), self.width), np.uint8)
         for row, c in zip(self.bytes, coded, strict=True):
             row[: len(c)] = np.frombuffer(c, np.uint8)
+        head = self.bytes[:, :8].astype(np.uint64)
+        pad = np.uint64(0xFF) * (np.arange(8) >= self.length[:, None])
+        #: The least and the largest first eight bytes of a text that begins with the piece.
+        self.least = sum(head[:, k] << np.uint64(56 - 8 * k) for k in range(8))
+        self.most = sum((head[:, k] | pad[:, k]) << np.uint64(56 - 8 * k) for k in range(8))
         self.surface = [b""] * size
         for i, p in self.text.items():
             self.surface[i] = p.encode()
@@ -135,46 +142,53 @@ class Model:
             self.cache_value[slots[kept]] = value[kept]
         return out
 
-    def suffixes(self, text: np.ndarray) -> np.ndarray:
-        """Start positions in the order of their first `width` bytes, by prefix doubling."""
-        rank, h = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while h < self.width:
-            key = rank * (len(text) + 256)
-            key[:-h] += rank[h:] + 1
-            order = np.argsort(key, kind="stable")
-            rank = np.empty_like(rank)
-            rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-            h *= 2
-        return order
+    def suffixes(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start positions in the order of their first `width` bytes (at least), and the first eight bytes of each as a number.
+
+        Ranks by eight bytes are doubled until they cover the width; the order of equal prefixes is left open.
+        """
+        padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+        head = sum(padded[k : len(text) + k] << np.uint64(56 - 8 * k) for k in range(8))
+        order = np.argsort(head)
+        rank, covered = np.empty(len(text), np.int64), 8
+        rank[order] = np.cumsum(np.diff(head[order], prepend=head[order[:1]]) != 0)
+        while covered < self.width:
+            key = rank * (len(text) + 1)
+            key[:-covered] += rank[covered:] + 1
+            order = np.argsort(key)
+            rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+            covered *= 2
+        return order, head[order]
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and index (in `usable`) of every occurrence of every usable piece."""
-        order = self.suffixes(text)
-        padded = np.concatenate([text, np.zeros(self.width, np.uint8)])
-        wide = np.arange(self.width)
-        inside = wide < self.length[:, None]
-
-        def bound(after: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.bytes), np.int64), np.full(len(self.bytes), len(order))
-            while (low < high).any():
-                mid = (low + high) >> 1
-                here = padded[order[np.minimum(mid, len(order) - 1)][:, None] + wide]
-                differ = (here != self.bytes) & inside
-                first = differ.argmax(1)
-                rows = np.arange(len(first))
-                less = np.where(differ[rows, first], here[rows, first] < self.bytes[rows, first], after)
-                go = low < high
-                low, high = np.where(go & less, mid + 1, low), np.where(go & ~less, mid, high)
-            return low
-
-        low, high = bound(False), bound(True)
+        order, heads = self.suffixes(text)
+        low, high = np.searchsorted(heads, self.least), np.searchsorted(heads, self.most, "right")
+        # pieces of more than eight bytes: on within the range of their first eight
+        long = np.flatnonzero((self.length > 8) & (low < high))
+        if len(long):
+            padded = np.concatenate([text, np.zeros(self.width, np.uint8)])
+            wide = np.arange(8, self.width)
+            inside, bytes_ = wide < self.length[long][:, None], self.bytes[long][:, 8:]
+            rows = np.arange(len(long))
+
+            def bound(low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+                low, high = low.copy(), high.copy()
+                while (go := low < high).any():
+                    mid = (low + high) >> 1
+                    here = padded[order[np.minimum(mid, len(order) - 1)][:, None] + wide]
+                    differ = (here != bytes_) & inside
+                    first = differ.argmax(1)
+                    less = np.where(differ[rows, first], here[rows, first] < bytes_[rows, first], after)
+                    low, high = np.where(go & less, mid + 1, low), np.where(go & ~less, mid, high)
+                return low
+
+            low[long], high[long] = bound(low[long], high[long], False), bound(low[long], high[long], True)
         n = high - low
-        piece = np.repeat(np.arange(len(n)), n)
-        return order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], piece
+        return order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(np.arange(len(n)), n)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The piece ids of each word (blanks already written as `BLANK`)."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of the words (blanks already written as `BLANK`), end to end, and how many each word has."""
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
         text = np.frombuffer(b"\xff".join([*coded, b""]), np.uint8).copy()
         text[text == 0] = _ZERO
@@ -184,8 +198,9 @@ class Model:
         stop, piece = start + self.length[piece], self.usable[piece]
         # characters without a piece are edges of their own
         heads = np.flatnonzero(((text & 0xC0) != 0x80) & (text != _SEPARATOR))
+        word_at = np.repeat(np.arange(len(words), dtype=np.int32), ends - begins + 1)
         tails = np.append(heads[1:], len(text) - 1)
-        tails = np.minimum(tails, ends[np.searchsorted(begins, heads, "right") - 1])
+        tails = np.minimum(tails, ends[word_at[heads]])
         single = np.zeros(len(text) + 1, bool)
         size_at = np.zeros(len(text) + 1, np.int64)
         size_at[heads] = tails - heads
@@ -193,16 +208,16 @@ class Model:
         lone = ~single[heads]
         start = np.concatenate([start, heads[lone]])
         stop, piece = np.concatenate([stop, tails[lone]]), np.concatenate([piece, np.full(lone.sum(), self.size)])
-        word = np.searchsorted(begins, start, "right") - 1
-        reach = stop - begins[word]
-        order = np.argsort(reach, kind="stable")
-        start, stop, piece, word = start[order], stop[order], piece[order], word[order]
-        cuts = np.flatnonzero(np.diff(reach[order])) + 1
+        first = begins[word_at[start]]
+        reach = stop - first
+        order = np.argsort(reach.astype(np.uint16) if reach.max(initial=0) < 1 << 16 else reach, kind="stable")
+        start, stop, piece, reach, opening = start[order], stop[order], piece[order], reach[order], (start == first)[order]
+        cuts = np.flatnonzero(np.diff(reach)) + 1
         last, back = np.full(len(text) + 1, -1, np.int64), np.zeros(len(text) + 1, np.int64)
         for a, b in zip([0, *cuts], [*cuts, len(start)], strict=True):
             s, p = start[a:b], piece[a:b]
             before = last[s]
-            ok = s == begins[word[a:b]]
+            ok = opening[a:b].copy()
             ask = np.flatnonzero(~ok & (before >= 0))
             ok[ask] = self.may_follow(before[ask], p[ask])
             last[stop[a:b][ok]], back[stop[a:b][ok]] = p[ok], s[ok]
@@ -221,7 +236,7 @@ class Model:
         spread = np.repeat(np.arange(len(ids)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         full = np.where(ids[spread] == self.size, self.byte[plain[np.minimum(begin[spread] + step, len(plain) - 1)]], ids[spread])
-        return np.split(full.astype(np.int32), np.searchsorted(who[spread], np.arange(1, len(words))))
+        return full.astype(np.int32), np.bincount(who[spread], minlength=len(words))
 
 
 @functools.cache
@@ -233,36 +248,42 @@ class Encoder:
     """Encodes texts; keeps the words it has met."""
 
     def __init__(self, path: str):
-        self.model, self.words, self.known = model(path), {}, []
+        self.model = model(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        batch, size = [], 0
+        found, batch, size = [], [], 0
         for w in new:
             batch.append(w)
-            size += 3 * len(w)
+            size += 2 * len(w)
             if size >= INDEX_BYTES:
-                self.known += self.model.encode_words(batch)
+                found.append(self.model.encode_words(batch))
                 batch, size = [], 0
         if batch:
-            self.known += self.model.encode_words(batch)
+            found.append(self.model.encode_words(batch))
+        self.ids = np.concatenate([self.ids, *(f[0] for f in found)])
+        self.sizes = np.concatenate([self.sizes, *(f[1] for f in found)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of the texts, end to end, and how many each text has."""
         if len(self.words) > KEPT_WORDS:
-            self.words, self.known = {}, []
+            self._forget()
         seen = len(self.words)
         code = defaultdict(itertools.count(seen).__next__, self.words)
-        cut = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        codes = [np.fromiter(map(code.__getitem__, c), np.int64, len(c)) for c in cut]
+        codes = [np.fromiter(map(code.__getitem__, found), np.int64, len(found)) for found in (_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts)]
         self.words = dict(code)
         self._learn(list(itertools.islice(self.words, seen, None)))
-        sizes = np.fromiter(map(len, self.known), np.int64, len(self.known))
-        flat = np.concatenate(self.known) if self.known else np.zeros(0, np.int32)
-        begins = np.cumsum(sizes) - sizes
-        out = []
-        for c in codes:
-            n = sizes[c]
-            out.append(flat[np.repeat(begins[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        return out
+        begins = np.cumsum(self.sizes) - self.sizes
+        every = np.concatenate([*codes, np.zeros(0, np.int64)])
+        n = self.sizes[every]
+        ids = self.ids[np.repeat(begins[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        total = np.concatenate(([0], np.cumsum(n)))
+        edges = total[np.concatenate(([0], np.cumsum([len(c) for c in codes]).astype(np.int64)))]
+        return ids, np.diff(edges)
 
 
 def decode(ids: np.ndarray, path: str) -> str:
@@ -272,24 +293,28 @@ def decode(ids: np.ndarray, path: str) -> str:
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`docs` with `ids` (array<int>) and `n_pieces` of the whole text, and `round_trip`: whether decoding gives the text again.
+    """`docs` without its text, with `ids` (array<int>) and `n_pieces` of the whole text, and `round_trip`: whether decoding gives the text again.
 
     A null or empty text has no pieces. A U+2581 in a text is decoded as a blank, as the model cannot tell them apart;
     `round_trip` compares with that in mind. Equal texts have equal pieces; other columns stay as they are.
     """
+    others = [c for c in docs.columns if c != text]
 
-    @F.pandas_udf("ids array<int>, n_pieces int, round_trip boolean")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch]
-            ids = []
-            for cut in blocks([len(t) for t in texts], CHARS):
-                ids += encoder.encode(texts[cut])
-            same = [decode(i, path) == t.replace(BLANK, " ") for i, t in zip(ids, texts, strict=True)]
-            yield pd.DataFrame({"ids": ids, "n_pieces": [len(i) for i in ids], "round_trip": same})
-
-    return docs.withColumn("_pieces", pieces(F.col(text))).select(*docs.columns, "_pieces.ids", "_pieces.n_pieces", "_pieces.round_trip")
+        for b in batches:
+            for cut in blocks(pc.fill_null(pc.utf8_length(b.column(len(others))), 0).to_pylist(), CHARS):
+                part = b.slice(cut.start, cut.stop - cut.start)
+                texts = [t or "" for t in part.column(len(others)).to_pylist()]
+                ids, n = encoder.encode(texts)
+                edges = np.concatenate(([0], np.cumsum(n)))
+                same = [decode(ids[a:z], path) == t.replace(BLANK, " ") for a, z, t in zip(edges[:-1], edges[1:], texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(n.astype(np.int32)), pa.array(same)], names=[*others, "ids", "n_pieces", "round_trip"])
+
+    rows = docs.select(*others, text)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
+    return rows.mapInArrow(encode, schema)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
