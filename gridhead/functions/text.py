@@ -71,7 +71,7 @@ def excel_column_name(number: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _double_text(values: pd.Series) -> pd.Series:
     """The shortest text that reads as the same double; no built-in function writes it."""
-    return values.map(repr, na_action="ignore")
+    return pd.Series([None if pd.isna(v) else repr(float(v)) for v in values], dtype=object)
 
 
 def render_cell(value: Column, kind: T.DataType) -> Column:
@@ -83,5 +83,5 @@ def render_cell(value: Column, kind: T.DataType) -> Column:
         micros = F.date_format(value, "SSSSSS")
         return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
     if isinstance(kind, T.DoubleType | T.FloatType):
-        return _double_text(value.cast("double"))
+        return F.when(F.isnan(value), "nan").otherwise(_double_text(value.cast("double")))
     return value.cast("string")

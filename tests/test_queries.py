@@ -1,0 +1,24 @@
+import pytest
+
+import __spark_entry__
+from gridhead.plans.catalogue import ORACLES, QUERIES
+from tests.conftest import SF
+from tests.oracle import differences
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    rows, missing, extra = differences(spark, QUERIES[name], ORACLES[name], SF)
+    assert rows > 0
+    assert (missing, extra) == (0, 0)
+
+
+def test_nested_result_agrees_with_flat_one(spark):
+    nested = QUERIES["detect_result"](spark, SF).select("sheet_id", "data.header_row_index", "data.confidence_score", "data.sheet_row_no")
+    flat = QUERIES["best_header_orders"](spark, SF).select("sheet_id", "header_row_index", "confidence_score", "sheet_row_no")
+    assert nested.exceptAll(flat).isEmpty() and flat.exceptAll(nested).isEmpty()
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).columns == ["sheet_id", "header_row_index", "header_row_number", "confidence_score", "sheet_row_no"]
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
