@@ -303,7 +303,7 @@ def spans(runs: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """`docs` with `runs`: where repeated strings start in its whole `text` (null: nowhere). See `spans`.
+    """`docs` with `_runs`: where repeated strings start in its whole `text` (null: nowhere). See `spans`.
 
     Rows with equal texts are different places of the same strings, so such texts of `LENGTH` bytes or more are repeated as a whole.
     """
@@ -315,9 +315,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     data = _cut_out(keyed.select("doc_id", "_key", "text").join(wanted, F.col("_key") == F.col("key")).select("doc_id", "key", "text", "wanted"))
     starts = _indexed(data, parts)
     runs = repeated.where("m = 0").select("h", "f", "key", "at").join(starts, ["h", "f"])
-    runs = runs.groupBy("key").agg(F.collect_set(F.struct("at", "starts")).alias("runs"))
+    runs = runs.groupBy(F.col("key").alias("_runs_key")).agg(F.collect_set(F.struct("at", "starts")).alias("_runs"))
     runs = written(runs, "suffix-runs")
-    return keyed.join(runs, keyed["_key"] == runs["key"], "left").drop("_key", "key")
+    return keyed.join(runs, F.col("_key") == F.col("_runs_key"), "left").drop("_key", "_runs_key")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     found = with_spans(docs)
-    cleaned = found.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(rest("text", "runs")))
+    cleaned = found.withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(rest("text", "_runs")))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return cleaned.select(docs.columns)

@@ -1,0 +1,72 @@
+import numpy as np
+
+from gridhead.llm import ann
+
+SCHEMA = "vec_id long, embedding array<float>, label int, v string"
+
+
+def frame(spark, ids, x):
+    return spark.createDataFrame([(int(i) if i is not None else None, None if v is None else [None if c is None else float(c) for c in v], 0, "clash") for i, v in zip(ids, x, strict=True)], SCHEMA).repartition(4)
+
+
+def brute(ids, x, k=20):
+    out = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = np.einsum("j,ij->i", x[i], x)
+        s[ids == ids[i]] = -np.inf
+        order = np.lexsort((ids, -s))[:k]
+        out[int(ids[i])] = [(int(ids[j]), s[j]) for j in order if s[j] > -np.inf]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+def test_recall_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    monkeypatch.setattr(ann, "LEAF", 32)
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((60, 24))[rng.integers(0, 60, 3000)] + 0.4 * rng.standard_normal((3000, 24))).astype(np.float32).astype(float)
+    x *= rng.uniform(0.2, 3, (3000, 1))
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(3000)
+    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x)))
+    hits = sum(len({a for a, _ in got[q]} & {a for a, _ in w}) for q, w in want.items())
+    assert set(got) == set(want) and hits >= 0.9 * sum(map(len, want.values()))
+    assert all(len(v) == 20 for v in got.values())
+    for q, rows in got.items():
+        assert all(abs(s - x[q] @ x[v]) < 1e-9 for v, s in rows) and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
+
+
+def test_ties_go_to_smaller_ids_even_in_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 8)).astype(np.float32).astype(float)
+    x[rng.permutation(900)[:400]] = x[0]
+    ids = rng.permutation(900)
+    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x)))
+    same = [q for q in want if [a for a, _ in want[q]] == [a for a, _ in got[q]]]
+    assert len(same) >= 0.9 * len(want)
+
+
+def test_what_takes_no_part(spark):
+    x = [[1, 0], [0, 0], None, [1, None], [float("nan"), 1], [float("inf"), 1], [1, 2, 3], [0.5, 0.5], [], [2, 0]]
+    got = found(ann.search(frame(spark, [0, 1, 2, 3, 4, 5, 6, 7, 8, None], x)))
+    assert got == {0: [(7, 0.5)]}
+
+
+def test_few_rows(spark):
+    assert ann.search(frame(spark, [], [])).isEmpty()
+    assert ann.search(frame(spark, [0], [[1.0, 2.0]])).isEmpty()
+    assert found(ann.search(frame(spark, [0, 3, 2], [[1, 2], [1, 0], [1, 0]]))) == {0: [(2, 1.0), (3, 1.0)]}
+
+
+def test_repeated_ids(spark):
+    got = found(ann.search(frame(spark, [0, 0, 5, 5], [[1, 0], [2, 0], [1, 0], [3, 0]])))
+    assert got == {0: [(5, 3.0), (5, 1.0)]}
