@@ -73,4 +73,25 @@ ORACLES = {
         f AS (SELECT p.page_id, arg_max(r.rhost || r.rpath, length(r.rhost || r.rpath)) AS rule, arg_max(r.verdict, length(r.rhost || r.rpath)) AS verdict
               FROM p JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath) GROUP BY p.page_id)
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)""",
+    "op5_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+        b AS (SELECT doc_id, n_bytes, base, substr(h, 2 * base + 1, 1398) AS part FROM (SELECT *, unnest(range(0, n_bytes - 199, 500)) AS base FROM n WHERE n_bytes >= 200)),
+        k AS (SELECT doc_id, base + i AS pos, md5(substr(part, 2 * i + 1, 400)) AS m FROM (SELECT *, unnest(range(0, least(500, n_bytes - 199 - base))) AS i FROM b)),
+        s AS (SELECT doc_id, pos FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+        g AS (SELECT doc_id, pos, sum(CASE WHEN pos - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -1000) AS before FROM s)),
+        x AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 200 AS b FROM g GROUP BY ALL),
+        y AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS done FROM x),
+        q AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS front FROM y JOIN n USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM n LEFT JOIN q USING (doc_id)""",
+    "op9_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN\pM_]+') AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        c AS (SELECT doc_id, g, count(*) AS k FROM s GROUP BY ALL),
+        t AS (SELECT doc_id, sum(k) AS n FROM c GROUP BY ALL),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, sum(least(a.k, b.k)) AS shared FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT u, v FROM p JOIN t x ON x.doc_id = u JOIN t y ON y.doc_id = v WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+        e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+        r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON r.node = e.u)
+        SELECT node AS doc_id, min(root) AS class_id FROM r GROUP BY node""",
 }

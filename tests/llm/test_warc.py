@@ -2,18 +2,10 @@ import hashlib
 
 from gridhead.llm import warc
 from gridhead.llm.common import shared_path
-from gridhead.llm.queries import ORACLES, QUERIES
-from tests.llm.helpers import SF
-from tests.oracle import differences
 
 PAGES = "page_id long, url string, html string, payload string"
 
 
-def test_query_equals_its_sql(spark):
-    rows, *differ = differences(spark, QUERIES["op1_warc_revisits"], ORACLES["op1_warc_revisits"], SF)
-    assert rows > 0 and differ == [0, 0]
-
-
 def test_revisits(spark):
     big, edge, small = "é" * 600, "x" * 1000, "x" * 999
     html = {1: big, 2: big, 9: big, 3: edge, 4: edge, 5: small, 6: small, 7: None, 8: ""}
