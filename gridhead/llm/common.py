@@ -21,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    """A temporary folder for a session that names none (tests on one machine)."""
+    return tempfile.mkdtemp(prefix="gridhead-")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (`spark.checkpoint.dir`; a temporary one in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="gridhead-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share: `spark.checkpoint.dir`, if the session names it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(base or _own_folder(spark.sparkContext.applicationId)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

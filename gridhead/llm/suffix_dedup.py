@@ -312,7 +312,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     packed = _anchors(keyed.select("_key", "text"), parts).repartition(parts, "bucket")
     repeated = written(_repeated(packed), "suffix-stretches")
     wanted = repeated.where("m > 0").groupBy("key").agg(F.collect_list(F.struct("h", "f", "m", "at", "span")).alias("wanted"))
-    data = _cut_out(keyed.select("doc_id", "_key", "text").join(wanted, F.col("_key") == F.col("key")).select("doc_id", "key", "text", "wanted"))
+    data = _cut_out(keyed.where("text IS NOT NULL").select("doc_id", "_key", "text").join(wanted, F.col("_key") == F.col("key")).select("doc_id", "key", "text", "wanted"))
     starts = _indexed(data, parts)
     runs = repeated.where("m = 0").select("h", "f", "key", "at").join(starts, ["h", "f"])
     runs = runs.groupBy(F.col("key").alias("_runs_key")).agg(F.collect_set(F.struct("at", "starts")).alias("_runs"))
