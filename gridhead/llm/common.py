@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import unicodedata
@@ -9,10 +11,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code points that a block of texts holds at most (a longer text is a block of its own).
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
@@ -60,8 +63,15 @@ def word_chars() -> np.ndarray:
     return np.fromiter((c.isalnum() or c == "_" or unicodedata.combining(c) != 0 for c in map(chr, range(0x110000))), bool, 0x110000)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers live on, and what they keep adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(lengths: list[int], limit: int = BLOCK_CHARS) -> Iterator[slice]:
-    """Consecutive runs of texts of at most `limit` code points together."""
+    """Consecutive runs of texts of at most `limit` code points together; memory is released after the last one."""
     first = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > limit:
@@ -70,6 +80,7 @@ def blocks(lengths: list[int], limit: int = BLOCK_CHARS) -> Iterator[slice]:
         total += n + 1
     if first < len(lengths):
         yield slice(first, len(lengths))
+    release_memory()
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

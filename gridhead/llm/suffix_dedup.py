@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import mix, partitions, written
+from gridhead.llm.common import mix, partitions, release_memory, written
 
 #: Bytes of a string that must not occur twice, and of an anchor.
 LENGTH, ANCHOR = 200, 64
 #: Bytes of text that are hashed at once, and stretches that are indexed at once (all of an anchor together).
-BLOCK_BYTES, BATCH = 3_000_000, 240
+BLOCK_BYTES, BATCH = 1_500_000, 240
 #: Bytes of a symbol of the index; divides `LENGTH`.
 SYMBOL = 8
 #: From so many stretches of one anchor in a block on, only their sum goes to the anchor's bucket.
@@ -102,6 +102,8 @@ def _anchors(texts: DataFrame, buckets: int) -> DataFrame:
                 size += len(data)
             if waiting:
                 yield from packed(waiting)
+            del held, waiting
+            release_memory()
 
     def packed(held: list) -> Iterator[pa.RecordBatch]:
         doc, first, last, h, f = _stretches(np.frombuffer(b"".join(d for _, d, _ in held), np.uint8), np.array([len(d) for _, d, _ in held]))
@@ -154,6 +156,7 @@ def _repeated(packed: DataFrame) -> DataFrame:
             return
         begin = np.flatnonzero((np.diff(h, prepend=~h[0]) != 0) | (np.diff(f, prepend=~f[0]) != 0))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[begin], f[begin], key[begin], at[begin], span[begin].astype(np.int32), np.add.reduceat(np.abs(n), begin))], schema=schema)
+        release_memory()
         one = (n > 0) & ((np.diff(key, prepend=~key[0]) != 0) | (np.diff(at, prepend=-1) != 0) | (np.diff(f, prepend=~f[0]) != 0))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[one], f[one], key[one], at[one], span[one].astype(np.int32), np.zeros(one.sum(), np.int64))], schema=schema)
 
@@ -266,6 +269,7 @@ def _indexed(stretches: DataFrame, parts: int) -> DataFrame:
                 if not waiting or waiting[-1][:2] != row[:2]:  # the same stretch may come from several equal texts
                     waiting.append(row)
         yield done(waiting)
+        release_memory()
 
     together = stretches.repartition(parts, "h").sortWithinPartitions("h", "f")
     return together.mapInArrow(index, "h long, f long, starts binary").where(F.length("starts") > 0)
@@ -289,6 +293,8 @@ def _cut_out(texts: DataFrame) -> DataFrame:
                     rows["m"].append(w["m"])
                     rows["data"].append(data[w["at"] : w["at"] + w["span"] + LENGTH])
             yield pa.RecordBatch.from_pydict(rows, schema)
+            del rows
+            release_memory()
 
     return texts.mapInArrow(cut, "h long, f long, m long, data binary")
 
