@@ -12,8 +12,9 @@ the one that they were copied from), so thousands of near copies are thousands o
 
 A leader may leave texts unlinked that are linked to each other. Where it leaves few, these are compared across
 components. Where it leaves many (two copies just below the threshold of it and of each other would make all pairs
-of a group candidates), their differences from the leader are banded again: two texts that are linked although the
-leader links not both must share differences, while copies that were changed independently share few.
+of a group candidates), their differences from the leader are joined by prefixes: two texts that are linked although
+the leader links not both must share so many differences that they share one among the rarest of each, while copies
+that were changed independently share few. No pair at the threshold is missed by this.
 
 Every comparison is exact, and classes are the connected components of the links at `SIMILARITY` or more.
 """
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhead.llm.common import blocks, mix, release_memory, shingles, words, written
@@ -34,9 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-#: Texts under one leader that are compared directly with each other at most; bands of the differences of more.
+#: Texts under one leader that are compared directly with each other at most; of more, those that share rare differences.
 FEW = 48
-DIFFERENCE_BANDS, DIFFERENCE_ROWS = 32, 3
 #: Sizes so far apart from the leader's are not compared: such texts meet under leaders of their own.
 LEAST_RATIO = 0.5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -133,21 +133,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: _per_text(batches, sketched), "doc_id long, k1 long, k2 long, n int, bands array<long>")
 
 
-def difference_bands(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Band hashes of the cells that only one of two texts has."""
-    apart = np.setxor1d(one, other, assume_unique=True).astype(np.uint64)
-    if not len(apart):
-        return np.zeros(0, np.int64)
-    count = DIFFERENCE_BANDS * DIFFERENCE_ROWS
-    least = np.full(count, ~np.uint64(0))
-    for at in range(0, len(apart), 4096):
-        least = np.minimum(least, mix(apart[at : at + 4096, None] + np.arange(1, count + 1, dtype=np.uint64) * _STEP).min(0))
-    total = np.arange(1, DIFFERENCE_BANDS + 1, dtype=np.uint64)
-    for r in range(DIFFERENCE_ROWS):
-        total = mix(total * _STEP + least[r::DIFFERENCE_ROWS])
-    return total.astype(np.int64)
-
-
 def _cell_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """`doc_id, cells` (sorted 32-bit hashes, packed) of every text in the pairs (u, v)."""
 
@@ -163,22 +148,24 @@ def _cell_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, differences: bool) -> DataFrame:
-    """`u, v, linked` of the pairs: whether their texts' exact weighted Jaccard similarity reaches `SIMILARITY`; with `bands` of their differences if asked for."""
+    """`u, v, linked` of the pairs: whether their texts' exact weighted Jaccard similarity reaches `SIMILARITY`; their numbers of cells `n` and `m`, and if asked for the cells `apart` that only one of them has."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked, bands_ = [], []
+            linked, n, m, apart = [], [], [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)  # equality counts
-                bands_.append(difference_bands(x, y) if differences else [])
-            yield pa.RecordBatch.from_pydict({"u": b.column(0), "v": b.column(1), "linked": linked, "bands": pa.array(bands_, pa.list_(pa.int64()))})
+                n.append(len(x))
+                m.append(len(y))
+                apart.append(np.setxor1d(x, y, assume_unique=True).view(np.int32) if differences else [])
+            yield pa.RecordBatch.from_pydict({"u": b.column(0), "v": b.column(1), "linked": linked, "n": pa.array(n, pa.int32()), "m": pa.array(m, pa.int32()), "apart": pa.array(apart, pa.list_(pa.int32()))})
             release_memory()
 
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("cells").alias(f"{k}_cells")) for k in "uv")
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "u_cells", "v_cells")
-    return written(both.mapInArrow(compared, "u long, v long, linked boolean, bands array<long>"), "dup-compared")
+    return written(both.mapInArrow(compared, "u long, v long, linked boolean, n int, m int, apart array<int>"), "dup-compared")
 
 
 def _ratio(n: str, m: str) -> Column:
@@ -197,20 +184,39 @@ def _led(texts: DataFrame) -> DataFrame:
     return near.select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
 
 
+def _sharing(rows: DataFrame) -> DataFrame:
+    """The pairs (u, w) of texts under one leader v that may be linked though it does not link u, from `u, v, n, m, apart, u_in, v_in`.
+
+    Two sets of b and c cells are linked if at most (b + c) / 9 cells are apart. With d and e cells apart from a leader of
+    m cells, this takes (d + e) / 2 - (b + c) / 18 common ones. As the leader does not link the first (9 d > b + m) and
+    c <= m + e, a least number follows for each text alone; texts that share so many share one outside the (number - 1)
+    most frequent of either.
+    """
+    d = F.size("apart")
+    over = 9 * d - F.col("n") - F.col("m")
+    asking = F.when(F.col("u_in") != F.col("v_in"), F.ceil((over + 8 * F.ceil(over / 10)) / 18).cast("int"))
+    asked = F.greatest(F.lit(1), F.ceil((9 * d + F.col("m") + 1 - F.col("n")) / 18).cast("int"))
+    each = rows.select("v", "u", "n", "u_in", asking.alias("asking"), asked.alias("asked"), F.explode("apart").alias("cell"))
+    times = each.groupBy("v", "cell").agg(F.count("*").alias("times")).where("times > 1")
+    order = Window.partitionBy("v", "u").orderBy(F.desc("times"), "cell")
+    rare = each.join(times, ["v", "cell"]).withColumn("place", F.row_number().over(order)).where("place >= least(asking, asked)")
+    rare = written(rare.select("v", "cell", "u", "n", "u_in", (F.col("place") >= F.col("asking")).alias("asks"), (F.col("place") >= F.col("asked")).alias("asked")), "dup-rare")
+    other = rare.where("asked").select("v", "cell", F.col("u").alias("w"), F.col("n").alias("w_n"), F.col("u_in").alias("w_in"))
+    # equality counts: sets more different in size than the threshold allows are not linked
+    sized = 5 * F.least("n", "w_n") >= 4 * F.greatest("n", "w_n")
+    return rare.where("asks").join(other, ["v", "cell"]).where((F.col("u_in") != F.col("w_in")) & sized).select("u", "w")
+
+
 def _left_apart(compared: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs (u, v) that may be linked though their leader did not join them, from its texts (`compared`) and their components so far."""
     of = [joined.select(F.col("node").alias(k), F.col("component").alias(f"{k}_in")) for k in "uv"]
     rows = compared.join(of[0], "u", "left").join(of[1], "v", "left").withColumns({"u_in": F.coalesce("u_in", "u"), "v_in": F.coalesce("v_in", "v")})
     groups = rows.groupBy("v").agg(F.count("*").alias("size"), F.min("u_in").alias("a"), F.max("u_in").alias("b")).where("a < b").select("v", "size")
     rows = written(rows.join(groups, "v"), "dup-apart")
-    few = rows.where(F.col("size") <= FEW).select("u", "v", "u_in", F.lit(None).cast("long").alias("band"))
-    # a text is banded under one leader, that of the most texts
-    most = rows.where(F.col("size") > FEW).groupBy("u").agg(F.max_by(F.struct("v", "u_in", "v_in", "bands"), F.struct("size", "v")).alias("r"))
-    many = most.select("u", "r.v", "r.u_in", "r.v_in", F.explode("r.bands").alias("band"))
+    few = rows.where(F.col("size") <= FEW).select("u", "v", "u_in")
+    met = few.join(few.select("v", F.col("u").alias("w"), F.col("u_in").alias("w_in")), "v").where("u_in <> w_in").select("u", "w")
     # with many texts, one of the two is not in the leader's component
-    asking = few.unionByName(many.where("u_in <> v_in").drop("v_in"))
-    asked = few.unionByName(many.drop("v_in")).select("v", F.col("u").alias("w"), F.col("u_in").alias("w_in"), "band")
-    met = asking.join(asked, (asking["v"] == asked["v"]) & asking["band"].eqNullSafe(asked["band"])).where("u_in <> w_in")
+    met = met.unionByName(_sharing(rows.where(F.col("size") > FEW)))
     return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
 
 

@@ -56,6 +56,40 @@ def test_classes_equal_brute_force(spark, monkeypatch, few):
     assert len(got) == len(want) and len(wrong) <= (0 if few > 10**5 else 3), wrong
 
 
+def replaced(base, places, tag):
+    words = base.split()
+    for k in places:
+        words[k] = f"{tag}{k}"
+    return " ".join(words)
+
+
+def test_links_that_a_leader_of_many_does_not_make(spark):
+    """Each far text is linked to its near one only, with which it shares a fifth of its differences from the text of which both are copies."""
+    base = " ".join(f"w{k}" for k in range(204))
+    near = [replaced(base, [10 + 3 * i], f"x{i}y") for i in range(60)]
+    far = [replaced(t, [(10 + 3 * i + 40 * j) % 200 for j in range(1, 5)], f"z{i}y") for i, t in enumerate(near)]
+    got = {r.doc_id: r.class_id for r in D.classes(documents(spark, [base, *near, *far])).collect()}
+    assert brute([base, *near, *far]) == [0] * 121 and {k for k, c in got.items() if c != 0} == set()
+
+
+def test_shared_rare_differences_find_every_link(spark):
+    """Random texts around a leader, of any size and distance: no pair at the threshold is missed."""
+    rng = random.Random(4)
+    leader = set(range(90))
+    texts = []
+    for _ in range(60):
+        seed = (leader - set(rng.sample(range(90), rng.randrange(16)))) | set(rng.sample(range(100, 130), rng.randrange(16)))
+        for _ in range(3):
+            texts.append((seed - set(rng.sample(sorted(seed), rng.randrange(7)))) | set(rng.sample(range(100, 130), rng.randrange(7))))
+    links = lambda x, y: 9 * len(x & y) >= 4 * (len(x) + len(y))
+    rows = [(i, -1, len(t), len(leader), sorted(t ^ leader), -1 if links(t, leader) else i, -1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "u long, v long, n int, m int, apart array<int>, u_in long, v_in long")
+    got = {(min(r), max(r)) for r in D._sharing(df).collect()}
+    inside = [links(t, leader) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if links(texts[i], texts[j]) and not (inside[i] and inside[j])}
+    assert len(want) > 100 and want <= got
+
+
 def test_one_of_each_class_stays(spark):
     texts = sample()
     docs = clashing(documents(spark, texts))
