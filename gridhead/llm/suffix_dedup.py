@@ -9,6 +9,7 @@ common prefixes are built together: each round puts one more symbol of every str
 inserts the new suffixes by last-to-first mapping. Transform and prefixes are plain sequences that are read and
 written front to back, and as a batch of stretches is small they stay in memory. Runs of suffixes with common
 prefixes of 200 bytes or more, weighed by the stretches' numbers, are the strings that start more than once.
+An anchor of more than `SPLIT` different stretches is not indexed: its 200-byte strings are counted by 128-bit hashes.
 
 Texts are keyed by a 64-bit hash; equal texts are handled once.
 """
@@ -34,6 +35,8 @@ BLOCK_BYTES, BATCH = 1_500_000, 240
 SYMBOL = 8
 #: From so many stretches of one anchor in a block on, only their sum goes to the anchor's bucket.
 HOT = 64
+#: Different stretches of one anchor that are indexed in one task at most.
+SPLIT = 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 
@@ -275,6 +278,42 @@ def _indexed(stretches: DataFrame, parts: int) -> DataFrame:
     return together.mapInArrow(index, "h long, f long, starts binary").where(F.length("starts") > 0)
 
 
+def start_hashes(data: bytes, seed: int) -> np.ndarray:
+    """A 64-bit hash of each `LENGTH`-byte string of `data`."""
+    n, at, total, step = len(data) - LENGTH + 1, 0, np.uint64(seed), 1
+    h = mix(np.arange(1 + 256 * seed, 257 + 256 * seed, dtype=np.uint64))[np.frombuffer(data, np.uint8)]
+    while step <= LENGTH:
+        if LENGTH & step:
+            total = mix(total * _STEP + h[at : at + n])
+            at += step
+        h = mix(h[:-step] * _STEP + h[step:])
+        step *= 2
+    return total
+
+
+def _counted(stretches: DataFrame) -> DataFrame:
+    """`h, f, starts` (repeated offsets, packed) of `stretches` (h, f, m, data), without bringing those of an anchor together."""
+    schema = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("m", pa.int64()), ("at", pa.int32()), ("s", pa.int64()), ("t", pa.int64())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, len(b), BATCH):
+                part = b.slice(first, BATCH)
+                data = part.column(3).to_pylist()
+                n = np.array([len(d) - LENGTH + 1 for d in data])
+                s, t = (np.concatenate([start_hashes(d, seed) for d in data]).astype(np.int64) for seed in (1, 2))
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                h, f, m = (np.repeat(part.column(k).to_numpy(), n) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, f, m, at.astype(np.int32), s, t)], schema=schema)
+        release_memory()
+
+    # the same stretch may come from several equal texts
+    starts = written(stretches.dropDuplicates(["h", "f"]).mapInArrow(hashed, "h long, f long, m long, at int, s long, t long"), "suffix-starts")
+    again = starts.groupBy("h", "s", "t").agg(F.sum("m").alias("times")).where("times > 1").select("h", "s", "t")
+    found = starts.join(again, ["h", "s", "t"]).groupBy("h", "f").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return found.select("h", "f", F.unhex(F.array_join(F.transform("at", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("starts"))
+
+
 def _cut_out(texts: DataFrame) -> DataFrame:
     """`h, f, m, data` from `texts` (doc_id, key, text, wanted): the bytes of the wanted stretches, once per batch."""
 
@@ -319,7 +358,12 @@ def with_spans(docs: DataFrame) -> DataFrame:
     repeated = written(_repeated(packed), "suffix-stretches")
     wanted = repeated.where("m > 0").groupBy("key").agg(F.collect_list(F.struct("h", "f", "m", "at", "span")).alias("wanted"))
     data = _cut_out(keyed.where("text IS NOT NULL").select("doc_id", "_key", "text").join(wanted, F.col("_key") == F.col("key")).select("doc_id", "key", "text", "wanted"))
-    starts = _indexed(data, parts)
+    many = written(repeated.where("m > 0").groupBy("h").count().where(F.col("count") > SPLIT).select("h"), "suffix-many")
+    if many.isEmpty():
+        starts = _indexed(data, parts)
+    else:
+        data = written(data, "suffix-data")
+        starts = _indexed(data.join(many, "h", "left_anti"), parts).unionByName(_counted(data.join(many, "h", "left_semi")))
     runs = repeated.where("m = 0").select("h", "f", "key", "at").join(starts, ["h", "f"])
     runs = runs.groupBy(F.col("key").alias("_runs_key")).agg(F.collect_set(F.struct("at", "starts")).alias("_runs"))
     runs = written(runs, "suffix-runs")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridhead.llm import suffix_dedup as S
 from tests.llm.helpers import clashing, documents, prose
@@ -46,6 +47,27 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     assert {k: v for k, v in got.items() if want[k] != v} == {} and len(got) == len(want)
 
 
+def test_a_line_in_thousands_of_surroundings(spark, monkeypatch):
+    rng = random.Random(3)
+    line = prose(rng, 90)[:190]
+    ends = [(prose(rng, 25), prose(rng, 25)) for _ in range(2000)]
+    texts = [f"{a} {line} {b}" for a, b in ends]
+    texts += [f"{a[-90:]} {line} {b[:20]}{i}" for i, (a, b) in enumerate(ends[:40])] + texts[:3] + [f"{prose(rng, 9)} {texts[7][9:-9]}"]
+    together = []
+    indexed = S._indexed
+
+    def watched(stretches, parts):
+        together.append(max((r.n for r in stretches.groupBy("h").agg(F.countDistinct("f").alias("n")).collect()), default=0))
+        return indexed(stretches, parts)
+
+    monkeypatch.setattr(S, "_indexed", watched)
+    got = {r.doc_id: tuple(r)[1:5] for r in S.removed(documents(spark, texts)).collect()}
+    want = dict(enumerate(brute(texts)))
+    assert sum(w[1] > 0 for w in want.values()) > 80
+    assert {k: v for k, v in got.items() if want[k] != v} == {} and len(got) == len(want)
+    assert together[0] <= 1000
+
+
 def test_documents_without_repeats(spark):
     texts = sample()
     docs = clashing(documents(spark, texts))
