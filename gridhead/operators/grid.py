@@ -19,12 +19,19 @@ def prefix(max_rows: int = MAX_ROWS, lookahead: int = LOOKAHEAD, preview: int =
 
 
 def grid_from_cells(cells: DataFrame) -> DataFrame:
-    """One record per cell (`sheet_id, row_no, col_no, value`, unique by place) to one per row, as wide as the sheet; gaps are null."""
-    width = F.max("col_no").over(Window.partitionBy("sheet_id"))
-    rows = cells.repartition("sheet_id").withColumn("width", width).groupBy("sheet_id", "row_no", "width")
-    found = rows.agg(F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("at"))
+    """One record per cell (`sheet_id, row_no, col_no, value`, perhaps `sheet_name`) to one per row, as wide as the sheet; gaps are null.
+
+    Of several cells at one place the greatest value counts. Widths are combined before they are shuffled, so a tall
+    sheet is no task of its own.
+    """
+    name = F.col("sheet_name") if "sheet_name" in cells.columns else F.lit("Sheet")
+    named = cells.select("sheet_id", name.alias("sheet_name"), "row_no", "col_no", "value")
+    widths = named.groupBy("sheet_id").agg(F.max("col_no").alias("width"))
+    rows = named.groupBy("sheet_id", "sheet_name", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "value"))).alias("at"))
+    single = F.filter("at", lambda c, i: (i == F.size("at") - 1) | (F.get("at", i + 1)["col_no"] != c["col_no"]))
+    found = rows.withColumn("at", F.map_from_entries(single)).join(widths, "sheet_id")
     filled = F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.try_element_at(F.col("at"), i))
-    return found.select("sheet_id", "row_no", filled.alias("cells"))
+    return found.select("sheet_id", "sheet_name", "row_no", filled.alias("cells"))
 
 
 def grid_from_columns(table: DataFrame, sheet_id: Column, row_no: Column, columns: Sequence[str] | None = None, sheet_name: Column | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhead.functions.text import excel_column_name, normalize_cell
@@ -56,12 +58,12 @@ def preview_columns(ordered: Column) -> Column:
     """
     first = F.filter(ordered, lambda h, i: (i == 0) | (F.get(ordered, i - 1)["name"] != h["name"]))
     last = F.filter(ordered, lambda h, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["name"] != h["name"]))
-    return F.array_sort(F.zip_with(first, last, lambda a, b: F.struct(a["place"].alias("first"), a["name"].alias("name"), b["place"].alias("place"))))
+    return F.sort_array(F.zip_with(first, last, lambda a, b: F.struct(a["place"].alias("first"), a["name"].alias("name"), b["place"].alias("place"))))
 
 
 def by_name(headers: Column) -> Column:
     """The headers as (name, place), sorted."""
-    return F.array_sort(F.transform(headers, lambda h: F.struct(h["name"].alias("name"), h["column_index"].alias("place"))))
+    return F.sort_array(F.transform(headers, lambda h: F.struct(h["name"].alias("name"), h["column_index"].alias("place"))))
 
 
 def preview_value(cells: Column, place: Column) -> Column:
@@ -69,9 +71,20 @@ def preview_value(cells: Column, place: Column) -> Column:
     return F.when(place < F.size(cells), F.get(cells, place)).otherwise("")
 
 
-def header_rows(kept: DataFrame, detected: DataFrame) -> DataFrame:
-    """The detected sheets' header rows, with their `cells`."""
-    return kept.select("sheet_id", "row_idx", "cells").join(detected.where("header_row_index IS NOT NULL"), "sheet_id").where("row_idx = header_row_index")
+def with_header_index(scored: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of `row_scores` with their sheet's `header_row_index` (null where no row has a positive score).
+
+    A maximum over the sheet as it is partitioned already, so nothing is shuffled or read again.
+    """
+    code = F.when(F.col("row_idx") < max_rows, _code(F.col("score"), F.col("row_idx"), max_rows))
+    marked = scored.withColumn("_code", F.max(code).over(Window.partitionBy("sheet_id")))
+    score, index = _decoded(F.col("_code"), max_rows)
+    return marked.withColumn("header_row_index", F.when(score > 0, index)).drop("_code")
+
+
+def header_rows(scored: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The header rows of the sheets of `row_scores` that have one, with their `cells`."""
+    return with_header_index(scored, max_rows).where("row_idx = header_row_index")
 
 
 def build_headers(rows: DataFrame) -> DataFrame:
@@ -86,15 +99,15 @@ def preview_rows_by_join(kept: DataFrame, detected: DataFrame, preview: int = PR
     return near.select("sheet_id", (F.col("row_idx") - F.col("header_row_index")).alias("preview_no"), "row_no", "cells")
 
 
-def sheets(scored: DataFrame, max_rows: int = MAX_ROWS, preview: int = PREVIEW) -> DataFrame:
+def sheets(scored: DataFrame, max_rows: int = MAX_ROWS, preview: int = PREVIEW, carried: Sequence[str] = ()) -> DataFrame:
     """One record per sheet with everything found: nested `headers`, `columns` (see `preview_columns`) and `below` (the rows under the header).
 
     `scored` has at most `prefix()` rows of a sheet, so the collected rows are bounded. Sheets whose only row has no
-    `row_idx` are empty (`n_rows` 0).
+    `row_idx` are empty (`n_rows` 0). Of the columns `carried`, the greatest value of the sheet's rows goes along.
     """
     row = F.struct("row_idx", "row_no", "score", "cells")
-    listed = F.array_sort(F.collect_list(F.when(F.col("row_idx").isNotNull(), row)))
-    whole = scored.groupBy("sheet_id", "sheet_name").agg(listed.alias("rows"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("row_idx").isNotNull(), row)))
+    whole = scored.groupBy("sheet_id", "sheet_name").agg(listed.alias("rows"), *(F.max(c).alias(c) for c in carried))
     codes = F.transform(F.filter("rows", lambda r: r["row_idx"] < max_rows), lambda r: _code(r["score"], r["row_idx"], max_rows))
     score, index = _decoded(F.col("_code"), max_rows)
     picked = whole.withColumn("n_rows", F.size("rows")).withColumn("_code", F.array_max(codes)).withColumn("_index", F.when(score > 0, index)).withColumn("_header", F.get("rows", F.col("_index")))
@@ -110,11 +123,19 @@ def sheets(scored: DataFrame, max_rows: int = MAX_ROWS, preview: int = PREVIEW)
         "headers",
         preview_columns(F.col("_ordered")).alias("columns"),
         F.when(F.col("_index").isNotNull(), F.slice("rows", F.col("_index") + 2, preview)).alias("below"),
+        *carried,
     )
 
 
-def preview_long(found: DataFrame) -> DataFrame:
-    """One record per preview cell of `sheets`: `sheet_id, preview_no, name, value`."""
-    rows = found.select("sheet_id", "columns", F.posexplode("below").alias("at", "row"))
-    cells = rows.select("sheet_id", (F.col("at") + 1).alias("preview_no"), F.explode("columns").alias("c"), "row")
-    return cells.select("sheet_id", "preview_no", F.col("c.name").alias("name"), preview_value(F.col("row.cells"), F.col("c.place")).alias("value"))
+def preview_long(scored: DataFrame, max_rows: int = MAX_ROWS, preview: int = PREVIEW) -> DataFrame:
+    """One record per preview cell of the sheets of `row_scores`: `sheet_id, preview_no, name, value`.
+
+    The header row alone works out its columns; the rows below it take them over a window of the same partitioning.
+    """
+    index = F.col("header_row_index")
+    columns = F.when(F.col("row_idx") == index, preview_columns(by_name(headers_of(F.col("cells")))))
+    near = with_header_index(scored, max_rows).where(F.col("row_idx").between(index, index + preview))
+    order = Window.partitionBy("sheet_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = near.withColumn("_columns", F.last(columns, ignorenulls=True).over(order)).where(F.col("row_idx") > index)
+    cells = below.select("sheet_id", (F.col("row_idx") - index).alias("preview_no"), "cells", F.explode("_columns").alias("c"))
+    return cells.select("sheet_id", "preview_no", F.col("c.name").alias("name"), preview_value(F.col("cells"), F.col("c.place")).alias("value"))

@@ -6,16 +6,20 @@ mistake is not made twice.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridhead.functions.text import DATE, LETTER, NUMBER, WHITE_SPACE, excel_column_name, has_alphabet, is_blank, is_date_like, is_number_like, is_very_long, normalize_cell, normalize_header_name
-from gridhead.operators.grid import grid_from_cells, kept_rows
+from gridhead.operators.grid import grid_from_cells, grid_from_columns, kept_rows
 from gridhead.operators.headers import best_header_rows, build_headers, header_rows, preview_long, preview_rows_by_join
 from gridhead.operators.scoring import enough_cells, row_profile, row_scores, rows_below, static_score
 from gridhead.plans import fixtures
-from gridhead.plans.detection import best_headers, detect_headers, found_sheets
-from gridhead.sources.files import answers, file_gate
+from gridhead.plans.detection import best_headers, detect_headers, scored_rows
+from gridhead.sources.files import answer_directory, answers, file_gate, write_results
+from gridhead.sources.shared import shared_path
+from gridhead.streaming.landing import stream_detect
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -71,9 +75,10 @@ _CELLS = f"""
     c AS (SELECT sheet_id, row_no, len(cells) AS width, generate_subscripts(cells, 1) - 1 AS col_no, unnest(cells) AS raw FROM g),
     n AS (SELECT *, {_norm("raw")} AS v FROM c)"""
 
+# rows before are counted, not numbered: DuckDB misplaces a limit on the row numbers of a materialized part
 _KEPT = """
     b AS (SELECT DISTINCT sheet_id, row_no FROM n WHERE v <> ''),
-    kept AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY row_no) - 1 AS row_idx FROM b)"""
+    kept AS (SELECT *, count(*) OVER (PARTITION BY sheet_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS row_idx FROM b)"""
 
 _PROFILED = f"""
     p AS (SELECT sheet_id, row_no, row_idx, count(*) AS n_nonempty,
@@ -114,7 +119,8 @@ def _letters(i: str) -> str:
 
 
 def _with(*parts: str, then: str) -> str:
-    return f"WITH {', '.join(parts)} {then}"
+    """Each part is worked out once, however often it is read."""
+    return f"WITH {re.sub(r'(?m)^( *\w+) AS [(]', r'\1 AS MATERIALIZED (', ', '.join(parts))} {then}"
 
 
 # --- queries ---
@@ -198,18 +204,17 @@ def best_header_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(_ORDERS, _UP_TO_BEST, _HEADERS, then=f"SELECT sheet_id, name, column_index, {_letters('column_index + 1')} AS excel_column_name FROM hd"))
 def headers_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = kept_rows(fixtures.order_sheets(spark, sf_dir))
-    return build_headers(header_rows(kept, best_header_rows(row_scores(kept))))
+    return build_headers(header_rows(scored_rows(fixtures.order_sheets(spark, sf_dir))))
 
 
 @_query(_with(_ORDERS, _UP_TO_BEST, _HEADERS, _PREVIEW, then="SELECT sheet_id, preview_no, name, value FROM pv"))
 def preview_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview_long(found_sheets(fixtures.order_sheets(spark, sf_dir)))
+    return preview_long(scored_rows(fixtures.order_sheets(spark, sf_dir)))
 
 
 @_query(_with(_LEDGER, _UP_TO_BEST, _HEADERS, _PREVIEW, then="SELECT sheet_id, preview_no, name, value FROM pv"))
 def preview_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview_long(found_sheets(fixtures.ledger_sheets(spark, sf_dir)))
+    return preview_long(scored_rows(fixtures.ledger_sheets(spark, sf_dir)))
 
 
 @_query(_with(_LEDGER, _UP_TO_BEST, _HEADERS, _PREVIEW, then="SELECT sheet_id, preview_no, row_no FROM pr"))
@@ -220,7 +225,7 @@ def preview_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(_DOCS, _UP_TO_BEST, _HEADERS, _PREVIEW, then="SELECT sheet_id, preview_no, name, value FROM pv"))
 def preview_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview_long(found_sheets(fixtures.doc_sheets(spark, sf_dir)))
+    return preview_long(scored_rows(fixtures.doc_sheets(spark, sf_dir)))
 
 
 _GATE = """
@@ -250,9 +255,47 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.coalesce("success", "_success").alias("success"), F.coalesce("message", "_message").alias("message"))
 
 
-@_query()
+@_query(
+    _with(
+        _ORDERS,
+        _UP_TO_BEST,
+        _HEADERS,
+        _PREVIEW,
+        f"""
+    ht AS (SELECT sheet_id, string_agg(name || ':' || column_index || ':' || {_letters("column_index + 1")}, '|' ORDER BY column_index) AS headers FROM hd GROUP BY 1),
+    fp AS (SELECT sheet_id, name, min(column_index) AS place FROM hd GROUP BY 1, 2),
+    rt AS (SELECT sheet_id, preview_no, string_agg(name || '=' || coalesce(value, '~'), '|' ORDER BY place) AS line FROM pv JOIN fp USING (sheet_id, name) GROUP BY 1, 2),
+    vt AS (SELECT sheet_id, string_agg(line, ';' ORDER BY preview_no) AS preview FROM rt GROUP BY 1)""",
+        then="""SELECT f.sheet_id, f.header_row_index IS NOT NULL AS success, CASE WHEN f.header_row_index IS NULL THEN 'Could not detect header row' ELSE 'Headers detected successfully' END AS message,
+        CASE WHEN f.header_row_index IS NOT NULL THEN 'Order' END AS sheet_name, header_row_index, header_row_number, confidence_score, sheet_row_no, headers, CASE WHEN f.header_row_index IS NOT NULL THEN coalesce(preview, '') END AS preview
+        FROM f LEFT JOIN ht USING (sheet_id) LEFT JOIN vt USING (sheet_id)""",
+    )
+)
 def detect_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_headers(fixtures.order_sheets(spark, sf_dir))
+    """`detect_headers` of every order sheet, its nested result told as text."""
+    headers = F.transform("data.headers", lambda h: F.concat_ws(":", h["name"], h["column_index"].cast("string"), h["excel_column_name"]))
+    rows = F.transform("data.preview_rows", lambda r: F.array_join(F.transform(F.map_entries(r), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))), "|"))
+    plain = ("sheet_name", "header_row_index", "header_row_number", "confidence_score", "sheet_row_no")
+    found = detect_headers(fixtures.order_sheets(spark, sf_dir))
+    return found.select("sheet_id", "success", "message", *(f"data.{c}" for c in plain), F.array_join(headers, "|").alias("headers"), F.array_join(rows, ";").alias("preview"))
+
+
+@_query(_with(_ORDERS, _UP_TO_BEST, then=f"SELECT {', '.join(_BEST)} FROM f"))
+def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells in, header rows out."""
+    return best_headers(grid_from_cells(fixtures.order_cells(spark, sf_dir))).select(*_BEST)
+
+
+@_query(
+    """WITH e AS (SELECT event_id, [CAST(event_id AS VARCHAR), strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') END,
+                   event_type, CAST(value AS VARCHAR), CASE WHEN value > 50 THEN 'True' WHEN value <= 50 THEN 'False' END] AS cells FROM events)
+    SELECT event_id % 100 AS sheet_id, 'Events' AS sheet_name, CAST(event_id AS INT) AS row_no, generate_subscripts(cells, 1) - 1 AS col_no, unnest(cells) AS value FROM e"""
+)
+def grid_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed columns as cells: whole numbers, moments, texts, doubles and truth values."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("high", F.col("value") > 50)
+    grid = grid_from_columns(events, F.col("event_id") % 100, F.col("event_id"), ["event_id", "ts", "event_type", "value", "high"], F.lit("Events"))
+    return grid.select("sheet_id", "sheet_name", "row_no", F.posexplode("cells").alias("col_no", "value"))
 
 
 @_query(
@@ -265,6 +308,41 @@ def detect_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def workbook_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = answers(fixtures.customer_workbooks(spark, sf_dir))
+    return _told(answers(fixtures.customer_workbooks(spark, sf_dir)))
+
+
+def _told(found: DataFrame) -> DataFrame:
     names = F.concat_ws("|", F.transform("data.headers", lambda h: h["name"]))
     return found.select("path", "success", "message", "data.header_row_index", "data.confidence_score", "data.sheet_row_no", names.alias("names"))
+
+
+_LANDED = _with(
+    _CUSTOMERS,
+    _UP_TO_BEST,
+    _HEADERS,
+    then="""SELECT f.sheet_id || CASE WHEN f.sheet_id % 7 = 0 THEN '.csv' ELSE '.xlsx' END AS path, f.sheet_id % 7 <> 0 AS success,
+        CASE WHEN f.sheet_id % 7 = 0 THEN 'Only .xlsx and .xlsm files are supported right now' ELSE 'Headers detected successfully' END AS message,
+        CASE WHEN f.sheet_id % 7 <> 0 THEN header_row_index END AS header_row_index, CASE WHEN f.sheet_id % 7 <> 0 THEN confidence_score END AS confidence_score,
+        CASE WHEN f.sheet_id % 7 <> 0 THEN sheet_row_no END AS sheet_row_no, CASE WHEN f.sheet_id % 7 <> 0 THEN names ELSE '' END AS names
+        FROM f JOIN (SELECT sheet_id, string_agg(name, '|' ORDER BY column_index) AS names FROM hd GROUP BY 1) USING (sheet_id)""",
+)
+
+
+def _file(found: DataFrame) -> DataFrame:
+    return _told(found).withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))
+
+
+@_query(_LANDED)
+def directory_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in a folder, answered, written as JSON and read again."""
+    out, found = shared_path(spark, "answers"), answer_directory(spark, fixtures.landed_files(spark, sf_dir))
+    write_results(found, out)
+    return _file(spark.read.schema(found.schema).json(out))
+
+
+@_query(_LANDED)
+def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in a folder, answered by the stream in several batches, and the answers read again."""
+    out, state = shared_path(spark, "streamed"), shared_path(spark, "stream-state")
+    stream_detect(spark, fixtures.landed_files(spark, sf_dir), out, state).awaitTermination()
+    return _file(spark.read.parquet(out))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,14 @@ def best_headers(grid: DataFrame, max_rows: int = MAX_ROWS, lookahead: int = LOO
     return best_header_rows(row_scores(kept_rows(grid, prefix(max_rows, lookahead, 0)), lookahead, longest), max_rows)
 
 
-def found_sheets(grid: DataFrame, max_rows: int = MAX_ROWS, lookahead: int = LOOKAHEAD, preview: int = PREVIEW, longest: int = LONG) -> DataFrame:
+def scored_rows(grid: DataFrame, max_rows: int = MAX_ROWS, lookahead: int = LOOKAHEAD, preview: int = PREVIEW, longest: int = LONG) -> DataFrame:
+    """The rows of every sheet that can matter, with their scores."""
+    return row_scores(kept_rows(grid, prefix(max_rows, lookahead, preview)), lookahead, longest)
+
+
+def found_sheets(grid: DataFrame, max_rows: int = MAX_ROWS, lookahead: int = LOOKAHEAD, preview: int = PREVIEW, longest: int = LONG, carried: Sequence[str] = ()) -> DataFrame:
     """`headers.sheets` of every sheet of the grid, empty ones too."""
-    return sheets(row_scores(kept_rows_or_one(grid, prefix(max_rows, lookahead, preview)), lookahead, longest), max_rows, preview)
+    return sheets(row_scores(kept_rows_or_one(grid, prefix(max_rows, lookahead, preview)), lookahead, longest), max_rows, preview, carried)
 
 
 def status() -> Column:
@@ -31,13 +38,14 @@ def status() -> Column:
     return F.when(F.col("n_rows") == 0, EMPTY).when(F.col("header_row_index").isNull(), NOT_FOUND).otherwise(DETECTED)
 
 
-def detect_headers(grid: DataFrame, max_rows: int = MAX_ROWS, lookahead: int = LOOKAHEAD, preview: int = PREVIEW, longest: int = LONG) -> DataFrame:
+def detect_headers(grid: DataFrame, max_rows: int = MAX_ROWS, lookahead: int = LOOKAHEAD, preview: int = PREVIEW, longest: int = LONG, error: str | None = None) -> DataFrame:
     """`sheet_id, success, message, data`: one record per sheet, nested as the result of a single detection.
 
     `data` is null where nothing was detected. Preview values are the cells' raw texts, keyed by header name; of equal
-    names the last column counts.
+    names the last column counts. If the grid has a column `error`, a text in it is the message of its sheet.
     """
-    found = found_sheets(grid, max_rows, lookahead, preview, longest).withColumn("message", status())
+    message = status() if error is None else F.coalesce(F.col(error), status())
+    found = found_sheets(grid, max_rows, lookahead, preview, longest, [error] if error else []).withColumn("message", message)
     rows = F.transform("below", lambda r: F.map_from_entries(F.transform("columns", lambda c: F.struct(c["name"], preview_value(r["cells"], c["place"])))))
     data = F.struct("sheet_name", "header_row_index", "header_row_number", "confidence_score", "sheet_row_no", "headers", rows.alias("preview_rows"))
     success = F.col("message") == DETECTED

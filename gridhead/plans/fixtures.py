@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridhead.operators.grid import grid_from_text
+from gridhead.sources.shared import shared_path
 
 ORDER_HEADER = (" Line  No ", "Part Key", "Supp Key", "Qty", "Unit  Price", "Ship Date", "Flag")
 LEDGER_HEADER = ("Cust Key", "Name", "Name", "Balance", "Segment")
@@ -90,33 +92,77 @@ def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_custkey").alias("c_custkey"), F.explode(F.when(F.col("k") == 1, top).otherwise(_rows(line))).alias("r")).select("c_custkey", "r.row_no", "r.cells")
 
 
-def workbook_bytes(rows: list[list[str | None]], name: str = "Sheet1") -> bytes:
-    """A workbook of one sheet with inline strings."""
+def _letters(n: int) -> str:
+    return (_letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+
+
+class _Workbook:
+    """A workbook of one sheet with inline strings, written row by row."""
 
-    def letters(n: int) -> str:
-        return (letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+    _MAIN, _OFFICE = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
-    def cell(value: str | None, row: int, col: int) -> str:
-        return "" if value is None else f'<c r="{letters(col)}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+    def __init__(self, name: str = "Sheet1"):
+        self.out = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+        self.zip.writestr("xl/workbook.xml", f'<workbook xmlns="{self._MAIN}" xmlns:r="{self._OFFICE}"><sheets><sheet name="{escape(name)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        self.zip.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{self._OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        self.sheet = self.zip.open("xl/worksheets/sheet1.xml", "w")
+        self.sheet.write(f'<worksheet xmlns="{self._MAIN}"><sheetData>'.encode())
 
-    body = "".join(f'<row r="{i}">' + "".join(cell(v, i, j) for j, v in enumerate(r, 1)) + "</row>" for i, r in enumerate(rows, 1))
-    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="{escape(name)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
+    def add(self, row_no: int, cells: list[str | None]) -> None:
+        texts = (f'<c r="{_letters(j)}{row_no + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(cells, 1) if v is not None)
+        self.sheet.write(f'<row r="{row_no + 1}">{"".join(texts)}</row>'.encode())
+
+    def content(self) -> bytes:
+        self.sheet.write(b"</sheetData></worksheet>")
+        self.sheet.close()
+        self.zip.close()
+        return self.out.getvalue()
+
+
+def workbook_bytes(rows: list[list[str | None]], name: str = "Sheet1") -> bytes:
+    book = _Workbook(name)
+    for i, cells in enumerate(rows):
+        book.add(i, cells)
+    return book.content()
 
 
 def customer_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`path, content`: a workbook file per customer with orders (a customer's orders are few)."""
-    sheets = customer_rows(spark, sf_dir).groupBy("c_custkey").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("rows"))
+    """`path, content`: a workbook file per customer with orders, written from its sorted rows as they come."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            content = [workbook_bytes([r["cells"] for r in rows]) for rows in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"path": b.column(0), "content": pa.array(content, pa.binary())})
+        last, book = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": [f"customers/{last}.xlsx"], "content": pa.array([book.content()], pa.binary())})
 
-    named = sheets.select(F.concat(F.lit("customers/"), F.col("c_custkey").cast("string"), F.lit(".xlsx")).alias("path"), "rows")
-    return named.mapInArrow(write, "path string, content binary")
+        for b in batches:
+            for key, row_no, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != last:
+                    if book:
+                        yield done()
+                    last, book = key, _Workbook()
+                book.add(row_no, cells)
+        if book:
+            yield done()
+
+    rows = customer_rows(spark, sf_dir).select("c_custkey", "row_no", "cells").repartition("c_custkey").sortWithinPartitions("c_custkey", "row_no")
+    return rows.mapInArrow(write, "path string, content binary")
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with a file per customer with orders: its workbook, under a name that is refused for each seventh."""
+    folder = shared_path(spark, "landing")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                key = path.removeprefix("customers/").removesuffix(".xlsx")
+                with fs.open_output_stream(f"{root}/{key}{'.csv' if int(key) % 7 == 0 else '.xlsx'}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": [len(b)]})
+
+    customer_workbooks(spark, sf_dir).mapInArrow(save, "n long").agg(F.sum("n")).collect()
+    return folder

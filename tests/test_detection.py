@@ -7,7 +7,7 @@ from gridhead.operators.grid import drop_blank_rows, grid_from_cells, grid_from_
 from gridhead.operators.headers import best_header_rows, preview_long
 from gridhead.operators.scoring import row_scores
 from gridhead.plans import fixtures
-from gridhead.plans.detection import EMPTY, NOT_FOUND, best_headers, detect_headers, found_sheets
+from gridhead.plans.detection import EMPTY, NOT_FOUND, best_headers, detect_headers, scored_rows
 from tests.conftest import SF
 
 GRID = "sheet_id string, sheet_name string, row_no int, cells array<string>"
@@ -71,7 +71,7 @@ def test_details(spark):
     assert data["b4"].preview_rows == [{"Name": "b", "Qty": "1", "Price": "2", "Date": "3"}]
     assert data["b14"].preview_rows == [{"Name": "Ann", "Qty": ""}, {"Name": "Bob", "Qty": None}]
     assert [h.name for h in data["b4"].headers] == ["Name", "Name", "Qty", "Price", "Date"]
-    long = {(r.preview_no, r.name): r.value for r in preview_long(found_sheets(grid(spark))).where("sheet_id = 'b1'").collect()}
+    long = {(r.preview_no, r.name): r.value for r in preview_long(scored_rows(grid(spark))).where("sheet_id = 'b1'").collect()}
     assert long == {(1, "Name"): "Ann", (1, "Qty"): "3", (1, "Date"): "01/02/2024", (2, "Name"): "Bob", (2, "Qty"): "4", (2, "Date"): "02/02/2024"}
 
 
@@ -116,6 +116,18 @@ def test_grid_from_cells_is_rectangular(spark):
     cells = spark.createDataFrame([("a", 0, 0, "x"), ("a", 0, 2, "z"), ("a", 5, 1, "y"), ("b", 1, 0, "q")], "sheet_id string, row_no int, col_no int, value string")
     got = {(r.sheet_id, r.row_no): r.cells for r in grid_from_cells(cells).collect()}
     assert got == {("a", 0): ["x", None, "z"], ("a", 5): [None, "y", None], ("b", 1): ["q"]}
+    twice = cells.unionByName(spark.createDataFrame([("a", 0, 0, "w"), ("a", 0, 0, None), ("a", 5, 1, "z")], cells.schema))
+    got = {(r.sheet_id, r.row_no): r.cells for r in grid_from_cells(twice).collect()}
+    assert got == {("a", 0): ["x", None, "z"], ("a", 5): [None, "z", None], ("b", 1): ["q"]}
+
+
+def test_cells_in_headers_out(spark):
+    cells = grid(spark).select("sheet_id", "sheet_name", "row_no", F.posexplode("cells").alias("col_no", "value")).where("value IS NOT NULL")
+    got = {r.sheet_id: r for r in detect_headers(grid_from_cells(cells)).collect()}
+    for r in detect_headers(grid(spark)).collect():
+        if r.message not in (EMPTY, NOT_FOUND):
+            assert got[r.sheet_id].data.headers == r.data.headers and got[r.sheet_id].data.confidence_score == r.data.confidence_score
+            assert got[r.sheet_id].data.sheet_name == "S"
 
 
 def test_grid_from_columns(spark):
