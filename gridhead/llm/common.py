@@ -1,18 +1,19 @@
-"""What the operators share: table access, the shared folder, and vectorised text hashing."""
+"""What the operators share: table access, tables in the shared folder, sampling, and vectorised text hashing."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import functools
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridhead.sources.shared import shared_path
 
 #: Code points that a block of texts holds at most (a longer text is a block of its own).
 BLOCK_CHARS = 1_000_000
@@ -24,18 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_folder(application: str) -> str:
-    """A temporary folder for a session that names none (tests on one machine)."""
-    return tempfile.mkdtemp(prefix="gridhead-")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share: `spark.checkpoint.dir`, if the session names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or _own_folder(spark.sparkContext.applicationId)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage, and later plans know its size."""
     path = shared_path(df.sparkSession, label)
@@ -48,6 +37,28 @@ def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, lengthened until no column is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Hashes for sampling are whole numbers below this.
+HASH_RANGE = 1 << 62
+
+
+def hash_rank(*columns: str | Column) -> Column:
+    """A whole number from 0 to `HASH_RANGE` by which rows are sampled."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 2)
+
+
+def hash_bar(wanted: float, n: int) -> int:
+    """Rows whose `hash_rank` is below this are about `wanted` of n (all, if there are no more); never 0, whatever n."""
+    return min(HASH_RANGE, max(1, int(HASH_RANGE * wanted / max(n, 1))))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -10,13 +10,13 @@ Texts with equal words are one text from the start. Candidates share a band of `
 each text is compared with the bucket's leader, the text that shares most bands with others (among near copies:
 the one that they were copied from), so thousands of near copies are thousands of comparisons.
 
-A leader may leave texts unlinked that are linked to each other. Where it leaves few, these are compared across
-components. Where it leaves many (two copies just below the threshold of it and of each other would make all pairs
-of a group candidates), their differences from the leader are joined by prefixes: two texts that are linked although
-the leader links not both must share so many differences that they share one among the rarest of each, while copies
-that were changed independently share few. No pair at the threshold is missed by this.
+A leader may leave texts unlinked that are linked to each other. To compare them all would be all pairs of a group,
+so a more central leader is looked for, and their differences from it are joined by prefixes: two texts that are linked although the leader links not
+both must share so many differences that they share one among the first of each (rare ones first), while copies
+that were changed independently share few. No pair at the threshold that shares a bucket is missed by this.
 
-Every comparison is exact, and classes are the connected components of the links at `SIMILARITY` or more.
+Every comparison is of whole sets of 64-bit cells, and classes are the connected components of the links at
+`SIMILARITY` or more.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-#: Texts under one leader that are compared directly with each other at most; of more, those that share rare differences.
-FEW = 48
-#: Sizes so far apart from the leader's are not compared: such texts meet under leaders of their own.
-LEAST_RATIO = 0.5
+#: Texts under one leader from which on their differences are looked at in the order of how rare they are, and texts that this order is taken from.
+FEW, ORDER_SAMPLE = 48, 200
+#: Differences that meet in one group of a task, about, and pairs that are looked at at once.
+ENTRIES, PAIRS_AT_ONCE = 200_000, 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,120 +133,270 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: _per_text(batches, sketched), "doc_id long, k1 long, k2 long, n int, bands array<long>")
 
 
-def _cell_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """`doc_id, cells` (sorted 32-bit hashes, packed) of every text in the pairs (u, v)."""
+def _cell_sets(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """`node, cells` (sorted 64-bit hashes, packed) of the texts in `asked` (node, rep, k1, k2), read again from the rows of `rep`."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            k1, k2 = (b.column(k).to_numpy() for k in (2, 3))
+            for cut in blocks([len(t) for t in texts]):
+                owner, cell, keys = cells(texts[cut])
+                each = np.split(cell, np.searchsorted(owner, np.arange(1, cut.stop - cut.start)))
+                same = (keys[0].astype(np.int64) == k1[cut]) & (keys[1].astype(np.int64) == k2[cut])  # another text may have the same id
+                found = pa.RecordBatch.from_pydict({"node": b.column(0).slice(cut.start, cut.stop - cut.start), "cells": pa.array([e.tobytes() for e in each], pa.binary())})
+                yield found.filter(pa.array(same))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(asked, "rep").select("node", "text", "k1", "k2")
+    return written(rows.mapInArrow(listed, "node long, cells binary").dropDuplicates(["node"]), "dup-cells")
 
-    def listed(texts: list[str]) -> dict:
-        owner, cell, _ = cells(texts)
-        each = np.split((cell >> np.uint64(32)).astype(np.uint32), np.searchsorted(owner, np.arange(1, len(texts))))
-        return {"cells": pa.array([np.unique(e).tobytes() for e in each], pa.binary())}
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id", "left_semi")
-    # of rows that share an id, one text stands for the id
-    return written(texts.mapInArrow(lambda batches: _per_text(batches, listed), "doc_id long, cells binary").dropDuplicates(["doc_id"]), "dup-cells")
+def linked(n: Column | np.ndarray, m: Column | np.ndarray, apart: Column | np.ndarray):  # noqa: ANN201
+    """Whether sets of n and m cells, of which `apart` are in one of the two only, reach `SIMILARITY`; equality counts, in whole numbers."""
+    return 9 * apart <= n + m
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, differences: bool) -> DataFrame:
-    """`u, v, linked` of the pairs: whether their texts' exact weighted Jaccard similarity reaches `SIMILARITY`; their numbers of cells `n` and `m`, and if asked for the cells `apart` that only one of them has."""
+    """`u, v, linked` of the pairs: whether their texts' exact weighted Jaccard similarity reaches `SIMILARITY`; their numbers of cells `n` and `m`, and if asked for the cells `apart` (packed) that only one of them has."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked, n, m, apart = [], [], [], []
+            n, m, apart, far = [], [], [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)  # equality counts
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                only = np.setxor1d(x, y, assume_unique=True)
                 n.append(len(x))
                 m.append(len(y))
-                apart.append(np.setxor1d(x, y, assume_unique=True).view(np.int32) if differences else [])
-            yield pa.RecordBatch.from_pydict({"u": b.column(0), "v": b.column(1), "linked": linked, "n": pa.array(n, pa.int32()), "m": pa.array(m, pa.int32()), "apart": pa.array(apart, pa.list_(pa.int32()))})
+                far.append(len(only))
+                apart.append(only.tobytes() if differences else None)
+            near = linked(np.array(n, np.int64), np.array(m, np.int64), np.array(far, np.int64))
+            yield pa.RecordBatch.from_pydict({"u": b.column(0), "v": b.column(1), "linked": near, "n": pa.array(n, pa.int32()), "m": pa.array(m, pa.int32()), "apart": pa.array(apart, pa.binary())})
             release_memory()
 
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("cells").alias(f"{k}_cells")) for k in "uv")
+    left, right = (sets.select(F.col("node").alias(k), F.col("cells").alias(f"{k}_cells")) for k in "uv")
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "u_cells", "v_cells")
-    return written(both.mapInArrow(compared, "u long, v long, linked boolean, n int, m int, apart array<int>"), "dup-compared")
-
-
-def _ratio(n: str, m: str) -> Column:
-    return F.least(n, m) / F.greatest(n, m)
+    return written(both.mapInArrow(compared, "u long, v long, linked boolean, n int, m int, apart binary"), "dup-compared")
 
 
 def _led(texts: DataFrame) -> DataFrame:
-    """The distinct pairs (u, v) of a text and the leader of a bucket that it is in."""
-    banded = texts.select(F.explode("bands").alias("bucket"), "rep", "n")
+    """The distinct pairs (u, v) of a text and the leaders of the buckets that it is in.
+
+    A bucket has a leader for each two neighbouring doublings of the size, so that any two texts whose sizes allow a
+    link have a leader in common that is at most four times as large or small.
+    """
+    banded = texts.select(F.explode("bands").alias("bucket"), "node", "n")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(banded.join(sizes, "bucket"), "dup-shared")
-    ranked = shared.join(shared.groupBy("rep").agg(F.sum("size").alias("rank")), "rep")
-    first = F.struct(F.col("rank"), -F.col("rep"))
-    leaders = ranked.groupBy("bucket").agg(F.max_by("rep", first).alias("leader"), F.max_by("n", first).alias("m"))
-    near = shared.join(leaders, "bucket").where(F.col("rep") != F.col("leader")).where(_ratio("n", "m") >= LEAST_RATIO)
-    return near.select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
+    ranked = shared.join(shared.groupBy("node").agg(F.sum("size").alias("rank")), "node")
+    doubling = F.floor(F.log2("n")).cast("int")
+    sized = written(ranked.select("bucket", "node", "rank", F.explode(F.array(doubling, doubling + 1)).alias("scale")), "dup-ranked")
+    # a table of its own, so that the join with it can be split where a bucket is large
+    leaders = written(sized.groupBy("bucket", "scale").agg(F.max_by("node", F.struct(F.col("rank"), -F.col("node"))).alias("v")), "dup-leaders")
+    return sized.select("bucket", "scale", F.col("node").alias("u")).join(leaders, ["bucket", "scale"]).where("u <> v").select("u", "v").distinct()
+
+
+def _common(rows: DataFrame) -> DataFrame:
+    """`v, common, times`: the cells that several of `ORDER_SAMPLE` texts under a leader differ in, with how many (packed).
+
+    Only the order in which differences are looked at depends on this sample, never a result.
+    """
+    order = Window.partitionBy("v").orderBy(F.xxhash64("u"), "u")
+    some = rows.where(F.col("size") > FEW).select("v", "u", "apart").withColumn("place", F.row_number().over(order)).where(F.col("place") <= ORDER_SAMPLE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            common, often = [], []
+            for lists in b.column(1).to_pylist():
+                cell, times = np.unique(np.frombuffer(b"".join(lists), np.uint64), return_counts=True)
+                common.append(cell[times > 2].tobytes())
+                often.append(times[times > 2].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_pydict({"v": b.column(0), "common": pa.array(common, pa.binary()), "times": pa.array(often, pa.binary())})
+
+    return written(some.groupBy("v").agg(F.collect_list("apart").alias("lists")).mapInArrow(count, "v long, common binary, times binary"), "dup-common")
+
+
+_ENTRY = np.dtype([("cell", "<u8"), ("node", "<i8"), ("inside", "<i8"), ("n", "<i4"), ("d", "<i4"), ("place", "<i4"), ("asks", "?"), ("asked", "?")])
+
+
+def _needed(d: int, n: int, m: int, asks: bool) -> tuple[int, int]:
+    """How many of its d differences from the leader a text of n cells must share with any text that it may be linked to: if it asks, and if it is asked.
+
+    Sets of b and c cells are linked if at most (b + c) / 9 cells are apart. With d and e cells apart from a leader of m
+    cells, this takes (9 d + 9 e - b - c) / 18 common ones. As the leader does not link the first (9 d > b + m) and
+    c <= m + e, and at most e are common, a least number follows for each text alone.
+    """
+    over = 9 * d - n - m
+    asking = max(1, -(-(over + 8 * -(-over // 10)) // 18)) if asks else d + 1
+    return asking, max(1, -(-(9 * d + m + 1 - n) // 18))
+
+
+def _entries(u: int, inside: int, leader_inside: int, n: int, m: int, apart: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The differences of a text by which it asks and is asked: those that come first, rare ones before common ones, so that two linked texts have one of these in common."""
+    asks = inside != leader_inside
+    asking, asked = (len(apart) - k + 1 for k in _needed(len(apart), n, m, asks))
+    if max(asking, asked) <= 0:
+        return np.zeros(0, _ENTRY)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, apart), len(common) - 1)
+        apart = apart[np.lexsort((apart, np.where(common[at] == apart, times[at], 0)))]
+    out = np.zeros(max(asking, asked), _ENTRY)
+    out["cell"], out["place"] = apart[: len(out)], np.arange(len(out))
+    out["node"], out["inside"], out["n"], out["d"] = u, inside, n, len(apart)
+    out["asks"], out["asked"] = out["place"] < asking, out["place"] < asked
+    return out
+
+
+def met(entries: np.ndarray) -> np.ndarray:
+    """The pairs (less, greater) of texts in different components that share an entry's cell, one of them asking, unless size or places rule a link out."""
+    entries = entries[np.lexsort((entries["inside"], entries["cell"]))]
+    new_cell = np.concatenate(([False], entries["cell"][1:] != entries["cell"][:-1]))
+    new_own = new_cell | np.concatenate(([False], entries["inside"][1:] != entries["inside"][:-1]))
+    cell, own = np.cumsum(new_cell), np.cumsum(new_own)
+    asks, asked = entries[entries["asks"]], entries[entries["asked"]]
+    (cell, among_cell), (own, among_own) = ((x[entries["asks"]], x[entries["asked"]]) for x in (cell, own))
+    begin, end = np.searchsorted(among_cell, cell), np.searchsorted(among_cell, cell, "right")
+    # of the texts under a cell, those of the asking one's own component lie together and are passed over
+    own_first, own_last = np.searchsorted(among_own, own), np.searchsorted(among_own, own, "right")
+    out = []
+    for low, high in ((begin, own_first), (own_last, end)):
+        n = high - low
+        cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS_AT_ONCE, int(n.sum()), PAIRS_AT_ONCE))
+        for part in np.split(np.arange(len(asks)), np.unique(cuts)):
+            k = n[part]
+            x = asks[np.repeat(part, k)]
+            y = asked[np.repeat(low[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            # shared before and after this cell, at most
+            most = np.minimum(x["place"], y["place"]) + np.minimum(x["d"] - x["place"], y["d"] - y["place"])
+            size = x["n"].astype(np.int64) + y["n"]
+            able = (18 * most >= 9 * (x["d"].astype(np.int64) + y["d"]) - size) & linked(x["n"], y["n"], np.abs(x["n"] - y["n"]))
+            two = np.stack([x["node"][able], y["node"][able]], 1)
+            out.append(np.unique(np.sort(two, 1), axis=0))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def _sharing(rows: DataFrame) -> DataFrame:
-    """The pairs (u, w) of texts under one leader v that may be linked though it does not link u, from `u, v, n, m, apart, u_in, v_in`.
+    """The pairs (u, v) of texts under one leader that may be linked though it does not link them, from `u, v, n, m, apart, u_in, v_in, size`.
+
+    A prefix-filtered join: each text lists the differences by which it can be found (`_entries`); the lists of a task's
+    texts travel packed, by leader and a share of the cells, and meet where the share is.
+    """
+    share = F.ceil(F.sum(F.length("apart")) / (8 * ENTRIES)).cast("int").alias("shares")
+    shares = rows.groupBy("v").agg(share)
+    full = rows.join(shares, "v").join(_common(rows), "v", "left")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: dict[tuple[int, int], list[bytes]] = {}
+            for u, v, inside, leader_inside, n, m, parts, apart, common, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                common, times = np.frombuffer(common or b"", np.uint64), np.frombuffer(times or b"", np.int32)
+                found = _entries(u, inside, leader_inside, n, m, np.frombuffer(apart, np.uint64), common, times)
+                part = (mix(found["cell"]) % np.uint64(parts)).astype(np.int64)
+                for k in np.unique(part).tolist():
+                    held.setdefault((v, k), []).append(found[part == k].tobytes())
+            yield pa.RecordBatch.from_pydict({"v": pa.array([v for v, _ in held], pa.int64()), "part": pa.array([k for _, k in held], pa.int32()), "entries": pa.array([b"".join(e) for e in held.values()], pa.binary())})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting = None, []
+
+        def pairs() -> pa.RecordBatch:
+            found = met(np.frombuffer(b"".join(waiting), _ENTRY))
+            return pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1]})
+
+        for b in batches:
+            for v, part, entries in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (v, part) != last and waiting:
+                    yield pairs()
+                    waiting.clear()
+                last = (v, part)
+                waiting.append(entries)
+        if waiting:
+            yield pairs()
+        release_memory()
+
+    packed = full.select("u", "v", "u_in", "v_in", "n", "m", "shares", "apart", "common", "times").mapInArrow(listed, "v long, part int, entries binary")
+    return packed.repartition("v", "part").sortWithinPartitions("v", "part").mapInArrow(meet, "u long, v long").distinct()
 
-    Two sets of b and c cells are linked if at most (b + c) / 9 cells are apart. With d and e cells apart from a leader of
-    m cells, this takes (d + e) / 2 - (b + c) / 18 common ones. As the leader does not link the first (9 d > b + m) and
-    c <= m + e, a least number follows for each text alone; texts that share so many share one outside the (number - 1)
-    most frequent of either.
+
+def _central(rows: DataFrame) -> DataFrame:
+    """`v, better`: for leaders of many, the text under them that is nearer to what most of them agree on, if there is one.
+
+    What a leader alone has or lacks is a difference of all its texts, by which each would meet each.
     """
-    d = F.size("apart")
-    over = 9 * d - F.col("n") - F.col("m")
-    asking = F.when(F.col("u_in") != F.col("v_in"), F.ceil((over + 8 * F.ceil(over / 10)) / 18).cast("int"))
-    asked = F.greatest(F.lit(1), F.ceil((9 * d + F.col("m") + 1 - F.col("n")) / 18).cast("int"))
-    each = rows.select("v", "u", "n", "u_in", asking.alias("asking"), asked.alias("asked"), F.explode("apart").alias("cell"))
-    times = each.groupBy("v", "cell").agg(F.count("*").alias("times")).where("times > 1")
-    order = Window.partitionBy("v", "u").orderBy(F.desc("times"), "cell")
-    rare = each.join(times, ["v", "cell"]).withColumn("place", F.row_number().over(order)).where("place >= least(asking, asked)")
-    rare = written(rare.select("v", "cell", "u", "n", "u_in", (F.col("place") >= F.col("asking")).alias("asks"), (F.col("place") >= F.col("asked")).alias("asked")), "dup-rare")
-    other = rare.where("asked").select("v", "cell", F.col("u").alias("w"), F.col("n").alias("w_n"), F.col("u_in").alias("w_in"))
-    # equality counts: sets more different in size than the threshold allows are not linked
-    sized = 5 * F.least("n", "w_n") >= 4 * F.greatest("n", "w_n")
-    return rare.where("asks").join(other, ["v", "cell"]).where((F.col("u_in") != F.col("w_in")) & sized).select("u", "w")
-
-
-def _left_apart(compared: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs (u, v) that may be linked though their leader did not join them, from its texts (`compared`) and their components so far."""
+
+    def off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far, lead = [], []
+            for apart, common, times, sampled in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                own = np.frombuffer(common, np.uint64)[2 * np.frombuffer(times, np.int32) > sampled]
+                far.append(len(np.setxor1d(np.frombuffer(apart, np.uint64), own, assume_unique=True)))
+                lead.append(len(own))
+            yield pa.RecordBatch.from_pydict({"v": b.column(0), "u": b.column(1), "off": pa.array(far, pa.int32()), "lead": pa.array(lead, pa.int32())})
+
+    asked = rows.join(_common(rows), "v").select("v", "u", "apart", "common", "times", F.least("size", F.lit(ORDER_SAMPLE)).alias("sampled"))
+    found = asked.mapInArrow(off, "v long, u long, off int, lead int").where("off < lead")
+    return written(found.groupBy("v").agg(F.min(F.struct("off", "u")).alias("best")).select("v", F.col("best.u").alias("better")), "dup-better")
+
+
+def _left_apart(compared: DataFrame, joined: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (u, v) that may be linked though their leader did not join them, from its texts (`compared`) and their components so far; and further links found on the way."""
     of = [joined.select(F.col("node").alias(k), F.col("component").alias(f"{k}_in")) for k in "uv"]
     rows = compared.join(of[0], "u", "left").join(of[1], "v", "left").withColumns({"u_in": F.coalesce("u_in", "u"), "v_in": F.coalesce("v_in", "v")})
     groups = rows.groupBy("v").agg(F.count("*").alias("size"), F.min("u_in").alias("a"), F.max("u_in").alias("b")).where("a < b").select("v", "size")
-    rows = written(rows.join(groups, "v"), "dup-apart")
-    few = rows.where(F.col("size") <= FEW).select("u", "v", "u_in")
-    met = few.join(few.select("v", F.col("u").alias("w"), F.col("u_in").alias("w_in")), "v").where("u_in <> w_in").select("u", "w")
-    # with many texts, one of the two is not in the leader's component
-    met = met.unionByName(_sharing(rows.where(F.col("size") > FEW)))
-    return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
+    rows = written(rows.join(groups, "v").select("u", "v", "n", "m", "apart", "u_in", "v_in", "size"), "dup-apart")
+    better = _central(rows)
+    if better.isEmpty():
+        return _sharing(rows), compared.limit(0).select("u", "v")
+    moved = rows.join(better, "v")
+    pairs = moved.select("u", F.col("better").alias("v")).unionByName(better.select(F.col("v").alias("u"), F.col("better").alias("v"))).where("u <> v").distinct()
+    again = _compared(pairs, sets, differences=True)
+    led = again.join(of[0], "u", "left").join(of[1], "v", "left").withColumn("v_in", F.coalesce("v_in", "v"))
+    # a text that the new leader links is in its component, whatever that was before
+    led = led.withColumn("u_in", F.when(F.col("linked"), F.col("v_in")).otherwise(F.coalesce("u_in", "u")))
+    sizes = again.groupBy("v").agg(F.count("*").alias("size"))
+    kept = rows.join(better, "v", "left_anti").unionByName(led.join(sizes, "v").select(rows.columns))
+    return _sharing(written(kept, "dup-led-again")), again.where("linked").select("u", "v")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """`doc_id, class_id` of every row of `docs` (doc_id, text): the least id of its class of near duplicates.
 
     Null and empty texts and texts without words are classes of their own; a null id has a null class.
-    Rows that share an id are one document. Further columns are ignored. An empty table gives an empty result.
+    Rows that share an id are one document, which is in the class of any of its texts (the least, if they differ).
+    A very long text is compared whole, like any other. Further columns are ignored. An empty table gives an empty result.
     """
     every = written(sketches(docs), "dup-sketches")
-    texts = written(every.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "dup-texts")
+    distinct = every.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = written(distinct.withColumn("node", F.monotonically_increasing_id()), "dup-texts")
     led = written(_led(texts), "dup-led")
-    sets = _cell_sets(led, docs)
+    asked = led.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = _cell_sets(texts.join(asked, "node", "left_semi").select("node", "rep", "k1", "k2"), docs)
     compared = _compared(led, sets, differences=True)
-    links = compared.where("linked").select("u", "v")
-    joined = written(components(links, "dup-components"), "dup-joined")
-    more = _compared(_left_apart(compared, joined), sets, differences=False).where("linked").select("u", "v")
-    final = components(links.unionByName(more), "dup-classes")
-
-    classed = texts.select("k1", "k2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("least"))
-    least = every.where("n > 0").join(classed, ["k1", "k2"]).groupBy("doc_id").agg(F.min("least").alias("class_id"))
-    alone = every.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    found = least.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    joined = written(components(compared.where("linked").select("u", "v"), "dup-components"), "dup-joined")
+    apart, more = _left_apart(compared, joined, sets)
+    more = more.unionByName(_compared(apart, sets, differences=False).where("linked").select("u", "v"))
+    final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "dup-classes")
+
+    grouped = texts.select("node", "k1", "k2", "rep").join(final, "node")
+    least = grouped.groupBy("component").agg(F.min("rep").alias("class_id"))
+    # a text without links is in a class with its own copies
+    single = texts.join(final, "node", "left_anti").select("k1", "k2", F.col("rep").alias("class_id"))
+    classed = written(grouped.join(least, "component").select("k1", "k2", "class_id").unionByName(single), "dup-classed")
+    owned = every.where("n > 0").select("doc_id", "k1", "k2").join(classed, ["k1", "k2"]).select("doc_id", "class_id")
+    wordless = every.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
+    found = owned.unionByName(wordless).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, of which the class is their own id: one of each class. Rows with a null id stay."""
+    """The rows of `docs`, all columns, of which the class is their own id: one of each class. Rows with a null id stay.
+
+    Of rows that share such an id, the one with the least text stays.
+    """
     found = written(classes(docs).where("doc_id IS NOT NULL"), "dup-found")
     dropped = found.where("class_id <> doc_id").select("doc_id").distinct()
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL")) if repeated else kept
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    if not repeated:
+        return kept
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text"), F.xxhash64(*docs.columns))).alias("row")
+    return kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first).select("row.*").unionByName(kept.where("doc_id IS NULL"))
