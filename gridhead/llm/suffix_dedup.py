@@ -2,20 +2,26 @@
 
 A 200-byte string is found again through its anchor, the 64-byte run inside it that has the least hash: equal
 strings have equal anchors at equal places. Consecutive starts that share an anchor form a stretch; only stretches
-whose anchor occurs elsewhere can repeat anything, and equal stretches are indexed once, with their number.
+whose anchor occurs elsewhere can repeat anything, and equal stretches are indexed once, with their number. Where all
+stretches of an anchor are equal there is nothing to compare: every string in them starts more than once.
 
-The stretches of one anchor meet in one task. There the Burrows-Wheeler transform of many stretches and their
+The different stretches of one anchor meet in one task. There the Burrows-Wheeler transform of many stretches and their
 common prefixes are built together: each round puts one more symbol of every stretch (from its end) in front and
 inserts the new suffixes by last-to-first mapping. Transform and prefixes are plain sequences that are read and
 written front to back, and as a batch of stretches is small they stay in memory. Runs of suffixes with common
 prefixes of 200 bytes or more, weighed by the stretches' numbers, are the strings that start more than once.
 An anchor of more than `SPLIT` different stretches is not indexed: its 200-byte strings are counted by 128-bit hashes.
 
-Texts are keyed by a 64-bit hash; equal texts are handled once.
+Of an anchor that is frequent in a block of text, stretches are counted where their content's hash puts them, so that
+no task gets all of them.
+
+Texts are keyed by two 64-bit hashes, stretches by one of their anchor and one of their content; equal texts are
+handled once.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,14 +39,18 @@ LENGTH, ANCHOR = 200, 64
 BLOCK_BYTES, BATCH = 1_500_000, 240
 #: Bytes of a symbol of the index; divides `LENGTH`.
 SYMBOL = 8
-#: From so many stretches of one anchor in a block on, only their sum goes to the anchor's bucket.
+#: From so many stretches of one anchor in a block on, only a mark goes to the anchor's bucket.
 HOT = 64
 #: Different stretches of one anchor that are indexed in one task at most.
 SPLIT = 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 
-_FIELDS = [("h", np.int64), ("f", np.int64), ("key", np.int64), ("at", np.int32), ("span", np.uint8), ("n", np.int32)]
+_FIELDS = [("h", np.int64), ("f", np.int64), ("key", np.int64), ("also", np.int64), ("at", np.int32), ("span", np.uint8), ("n", np.int32)]
+#: What a packed row holds: stretches of the bucket's anchors, stretches of frequent anchors (in any bucket), sums of such stretches.
+_OWN, _PLACES, _SUMS = 0, 1, 2
+#: The offsets 0, 1, 2 and so on of a stretch that is repeated as a whole.
+_EVERY = bytes(range(LENGTH - ANCHOR + 1))
 
 
 def _stretches(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -77,24 +87,36 @@ def _stretches(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, first - begins[doc], last - begins[doc], h[anchor], content
 
 
-def _packed(bucket: int, late: bool, rows: dict[str, np.ndarray]) -> dict:
-    return {"bucket": bucket, "late": late} | {k: rows[k].astype(kind).tobytes() for k, kind in _FIELDS}
+def _packed(bucket: int, kind: int, rows: dict[str, np.ndarray]) -> dict:
+    return {"bucket": bucket, "kind": kind} | {k: rows[k].astype(t).tobytes() for k, t in _FIELDS}
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())] + [(k, pa.binary()) for k, _ in _FIELDS])
+_PACKED_DDL = "bucket int, kind int, " + ", ".join(f"{k} binary" for k, _ in _FIELDS)
+
+
+def _by_bucket(rows: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> Iterator[dict]:
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            yield _packed(int(bucket[part[0]]), kind, {k: v[part] for k, v in rows.items()})
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("late", pa.bool_())] + [(k, pa.binary()) for k, _ in _FIELDS])
-_PACKED_DDL = "bucket int, late boolean, " + ", ".join(f"{k} binary" for k, _ in _FIELDS)
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    return np.flatnonzero(np.logical_or.reduce([np.diff(c, prepend=~c[:1]) != 0 for c in columns])) if len(columns[0]) else np.zeros(0, np.int64)
 
 
 def _anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """The stretches of `texts` (key, text), packed by bucket of the anchor. Rows marked `late` are single stretches of
-    anchors that are frequent in a block, in any bucket; for those the anchor's own bucket has the block's sums only."""
+    """The stretches of `texts` (key, also, text), packed by bucket of the anchor. Of an anchor that is frequent in a
+    block, the stretches are in any bucket and their sums in that of anchor and content; its own bucket has a mark only."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[int, list] = {}
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held: dict[tuple, list] = {}
+            for key, also, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if text is not None and len(text) * 4 >= LENGTH:
-                    held.setdefault(key, [text, 0])[1] += 1
+                    held.setdefault((key, also), [text, 0])[1] += 1
             waiting, size = [], 0
             for key, (text, n) in held.items():
                 data = text.encode("utf-8", "surrogatepass")
@@ -110,60 +132,81 @@ def _anchors(texts: DataFrame, buckets: int) -> DataFrame:
 
     def packed(held: list) -> Iterator[pa.RecordBatch]:
         doc, first, last, h, f = _stretches(np.frombuffer(b"".join(d for _, d, _ in held), np.uint8), np.array([len(d) for _, d, _ in held]))
-        rows = {"h": h.astype(np.int64), "f": f.astype(np.int64), "key": np.array([k for k, _, _ in held], np.int64)[doc], "at": first, "span": last - first, "n": np.array([n for _, _, n in held])[doc]}
+        key, also = (np.array([k[side] for k, _, _ in held], np.int64)[doc] for side in (0, 1))
+        rows = {"h": h.astype(np.int64), "f": f.astype(np.int64), "key": key, "also": also, "at": first, "span": last - first, "n": np.array([n for _, _, n in held])[doc]}
         order = np.lexsort((rows["f"], rows["h"]))
         rows = {k: v[order] for k, v in rows.items()}
         out = []
         if len(order):
-            begin = np.flatnonzero(np.diff(rows["h"], prepend=~rows["h"][0]))
-            hot = np.repeat(np.diff(np.append(begin, len(order))) >= HOT, np.diff(np.append(begin, len(order))))
+            begin = _firsts(rows["h"])
+            each = np.diff(np.append(begin, len(order)))
+            hot = np.repeat(each >= HOT, each)
             if hot.any():
-                late = {k: v[hot] for k, v in rows.items()}
-                out.append(_packed(int(late["key"][0] % buckets), True, late))
-                same = np.flatnonzero((np.diff(late["h"], prepend=~late["h"][0]) != 0) | (np.diff(late["f"], prepend=~late["f"][0]) != 0))
-                # a sum is marked by a negative number: its stretch is listed among the late ones
-                sums = {k: v[same] for k, v in late.items()} | {"n": -np.add.reduceat(late["n"], same)}
-                rows = {k: np.concatenate([v[~hot], sums[k]]) for k, v in rows.items()}
-            bucket = (mix(rows["h"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            out += [_packed(int(bucket[part[0]]), False, {k: v[part] for k, v in rows.items()}) for part in np.split(order, cuts)]
+                frequent = {k: v[hot] for k, v in rows.items()}
+                out.append(_packed(int(frequent["key"][0] % buckets), _PLACES, frequent))
+                same = _firsts(frequent["h"], frequent["f"])
+                sums = {k: v[same] for k, v in frequent.items()} | {"n": np.add.reduceat(frequent["n"], same)}
+                out += _by_bucket(sums, (mix(sums["h"].astype(np.uint64) ^ mix(sums["f"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), _SUMS)
+                marks = {k: v[begin[each >= HOT]] for k, v in rows.items()} | {"n": np.zeros((each >= HOT).sum(), np.int64)}
+                rows = {k: np.concatenate([v[~hot], marks[k]]) for k, v in rows.items()}
+            out += _by_bucket(rows, (mix(rows["h"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), _OWN)
         yield pa.RecordBatch.from_pylist(out, _PACKED)
 
     return texts.mapInArrow(cut, _PACKED_DDL)
 
 
 def _repeated(packed: DataFrame) -> DataFrame:
-    """The stretches whose anchor occurs more than once: a row per stretch (`key, at`), and one per content (`m` > 0: how often)."""
-    schema = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("m", pa.int64())])
+    """The stretches whose anchor occurs more than once. A row per stretch (`m` = 0; -1 where it is repeated as a whole), and
+    one per content (`m` > 0: how often). `hot`: other rows of the same anchor and content may be elsewhere, and are to be added."""
+    kinds = [("h", pa.int64()), ("f", pa.int64()), ("key", pa.int64()), ("also", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("m", pa.int64()), ("hot", pa.bool_())]
+
+    def made(columns: tuple, m: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip((*columns, m, hot), kinds, strict=True)], schema=pa.schema(kinds))
+
+    def sums(parts: list) -> Iterator[pa.RecordBatch]:
+        *columns, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((columns[1], columns[0]))
+        columns, n = [c[order] for c in columns], n[order].astype(np.int64)
+        begin = _firsts(columns[0], columns[1])
+        yield made([c[begin] for c in columns], np.add.reduceat(n, begin), np.ones(len(begin), bool))
+
+    def own(parts: list) -> Iterator[pa.RecordBatch]:
+        *columns, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+        columns, n = [c[order] for c in columns], n[order].astype(np.int64)
+        begin = _firsts(columns[0])
+        each = np.diff(np.append(begin, len(n)))
+        frequent = np.minimum.reduceat(n, begin) == 0
+        again = np.repeat((np.add.reduceat(n, begin) > 1) | frequent, each) & (n > 0)
+        hot = np.repeat(frequent, each)[again]
+        columns, n = [c[again] for c in columns], n[again]
+        if not len(n):
+            return
+        begin = _firsts(columns[0], columns[1])
+        anchor = _firsts(columns[0])
+        contents = np.diff(np.append(np.searchsorted(begin, anchor), len(begin)))
+        alone = np.repeat(contents == 1, np.diff(np.append(anchor, len(n)))) & ~hot
+        some = ~alone[begin]
+        yield made([c[begin][some] for c in columns], np.add.reduceat(n, begin)[some], hot[begin][some])
+        one = _firsts(*columns[:5])
+        yield made([c[one] for c in columns], np.where(alone[one], -1, 0), hot[one])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
+        parts: dict[int, list] = {_OWN: [], _SUMS: []}
         for b in batches:
-            for late, *columns in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                part = [np.frombuffer(c, kind) for c, (_, kind) in zip(columns, _FIELDS, strict=True)]
-                if late:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, part[:4]), pa.array(part[4].astype(np.int32)), pa.array(np.zeros(len(part[0]), np.int64))], schema=schema)
+            for kind, *columns in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                part = [np.frombuffer(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)]
+                if kind == _PLACES:
+                    yield made(part[:-1], np.zeros(len(part[0]), np.int64), np.ones(len(part[0]), bool))
                 else:
-                    parts.append(part)
-        if not parts:
-            return
-        h, f, key, at, span, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, key, f, h))
-        h, f, key, at, span, n = (x[order] for x in (h, f, key, at, span, n))
-        n = n.astype(np.int64)
-        begin = np.flatnonzero(np.diff(h, prepend=~h[0]))
-        again = np.repeat(np.add.reduceat(np.abs(n), begin) > 1, np.diff(np.append(begin, len(h))))
-        h, f, key, at, span, n = (x[again] for x in (h, f, key, at, span, n))
-        if not len(h):
-            return
-        begin = np.flatnonzero((np.diff(h, prepend=~h[0]) != 0) | (np.diff(f, prepend=~f[0]) != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[begin], f[begin], key[begin], at[begin], span[begin].astype(np.int32), np.add.reduceat(np.abs(n), begin))], schema=schema)
+                    parts[kind].append(part)
+        if parts[_SUMS]:
+            yield from sums(parts.pop(_SUMS))
+        if parts[_OWN]:
+            yield from own(parts.pop(_OWN))
         release_memory()
-        one = (n > 0) & ((np.diff(key, prepend=~key[0]) != 0) | (np.diff(at, prepend=-1) != 0) | (np.diff(f, prepend=~f[0]) != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[one], f[one], key[one], at[one], span[one].astype(np.int32), np.zeros(one.sum(), np.int64))], schema=schema)
 
-    return packed.mapInArrow(select, "h long, f long, key long, at int, span int, m long")
+    return packed.mapInArrow(select, "h long, f long, key long, also long, at int, span int, m long, hot boolean")
 
 
 def _sorted(codes: np.ndarray) -> np.ndarray:
@@ -315,16 +358,16 @@ def _counted(stretches: DataFrame) -> DataFrame:
 
 
 def _cut_out(texts: DataFrame) -> DataFrame:
-    """`h, f, m, data` from `texts` (doc_id, key, text, wanted): the bytes of the wanted stretches, once per batch."""
+    """`h, f, m, data` from `texts` (key, also, text, wanted): the bytes of the wanted stretches, once per batch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("m", pa.int64()), ("data", pa.binary())])
         for b in batches:
             seen, rows = set(), {k: [] for k in schema.names}
-            for key, text, wanted in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if key in seen:
+            for *key, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tuple(key) in seen:
                     continue
-                seen.add(key)
+                seen.add(tuple(key))
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     rows["h"].append(w["h"])
@@ -348,34 +391,45 @@ def spans(runs: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """`docs` with `_runs`: where repeated strings start in its whole `text` (null: nowhere). See `spans`.
+    """`row` (the columns of `docs`) with `runs`: where repeated strings start in its whole `text` (null: nowhere). See `spans`.
 
     Rows with equal texts are different places of the same strings, so such texts of `LENGTH` bytes or more are repeated as a whole.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    keyed = docs.select(F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("also"), F.struct(*docs.columns).alias("row"))
     parts = partitions(docs)
-    packed = _anchors(keyed.select("_key", "text"), parts).repartition(parts, "bucket")
+    packed = _anchors(keyed.select("key", "also", "row.text"), parts).repartitionById(parts, F.col("bucket"))
     repeated = written(_repeated(packed), "suffix-stretches")
-    wanted = repeated.where("m > 0").groupBy("key").agg(F.collect_list(F.struct("h", "f", "m", "at", "span")).alias("wanted"))
-    data = _cut_out(keyed.where("text IS NOT NULL").select("doc_id", "_key", "text").join(wanted, F.col("_key") == F.col("key")).select("doc_id", "key", "text", "wanted"))
-    many = written(repeated.where("m > 0").groupBy("h").count().where(F.col("count") > SPLIT).select("h"), "suffix-many")
+    place = F.struct("key", "also", "at", "span")
+    hot = repeated.where("m > 0 AND hot").groupBy("h", "f").agg(F.sum("m").alias("m"), F.min(place).alias("place")).select("h", "f", "m", "place.*")
+    contents = repeated.where("m > 0 AND NOT hot").select(hot.columns).unionByName(hot)
+    # anchors of one content (found here only for frequent ones), and those of too many
+    odd = written(contents.groupBy("h").agg(F.count("*").alias("contents")).where((F.col("contents") == 1) | (F.col("contents") > SPLIT)), "suffix-odd")
+    starts = []
+    if not odd.where("contents = 1").isEmpty():
+        alone = odd.where("contents = 1").select("h")
+        starts.append(contents.join(alone, "h", "left_semi").select("h", "f", F.substring(F.lit(_EVERY), F.lit(1), F.col("span") + 1).alias("starts")))
+        contents = contents.join(alone, "h", "left_anti")
+    wanted = contents.groupBy("key", "also").agg(F.collect_list(F.struct("h", "f", "m", "at", "span")).alias("wanted"))
+    data = _cut_out(keyed.where("row.text IS NOT NULL").select("key", "also", "row.text").join(wanted, ["key", "also"]))
+    many = odd.where(F.col("contents") > SPLIT).select("h")
     if many.isEmpty():
-        starts = _indexed(data, parts)
+        starts.append(_indexed(data, parts))
     else:
         data = written(data, "suffix-data")
-        starts = _indexed(data.join(many, "h", "left_anti"), parts).unionByName(_counted(data.join(many, "h", "left_semi")))
-    runs = repeated.where("m = 0").select("h", "f", "key", "at").join(starts, ["h", "f"])
-    runs = runs.groupBy(F.col("key").alias("_runs_key")).agg(F.collect_set(F.struct("at", "starts")).alias("_runs"))
-    runs = written(runs, "suffix-runs")
-    return keyed.join(runs, F.col("_key") == F.col("_runs_key"), "left").drop("_key", "_runs_key")
+        starts += [_indexed(data.join(many, "h", "left_anti"), parts), _counted(data.join(many, "h", "left_semi"))]
+    places = repeated.where("m = 0").select("h", "f", "key", "also", "at").join(functools.reduce(DataFrame.unionByName, starts), ["h", "f"])
+    whole = repeated.where("m = -1").withColumn("starts", F.substring(F.lit(_EVERY), F.lit(1), F.col("span") + 1))
+    found = places.select("key", "also", "at", "starts").unionByName(whole.select("key", "also", "at", "starts"))
+    runs = written(found.groupBy("key", "also").agg(F.collect_set(F.struct("at", "starts")).alias("runs")), "suffix-runs")
+    return keyed.join(runs, ["key", "also"], "left").select("row", "runs")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans` of every row of `docs` (doc_id, text).
 
     Removed is each UTF-8 byte under a `LENGTH`-byte string that also starts anywhere else, in the same text or another;
-    strings are judged on the input. A null text is empty; shorter texts keep everything; ids may repeat or be null.
-    Further columns are ignored. An empty table gives an empty result.
+    strings are judged on the input. A null text is empty; shorter texts keep everything; very long ones are handled
+    whole; ids may repeat or be null. Further columns are ignored. An empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
@@ -389,7 +443,7 @@ def removed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>"
-    return with_spans(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(cut, ddl)
+    return with_spans(docs.select(F.col("doc_id").cast("long"), "text")).select("row.doc_id", "row.text", "runs").mapInArrow(cut, ddl)
 
 
 def kept(data: bytes, found: list[tuple[int, int]]) -> bytes:
@@ -403,13 +457,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Where a span cuts a character, the rest of that character goes too. Every row stays, if need be with an empty text.
     """
+
     @F.pandas_udf("string")
     def rest(texts: pd.Series, runs: pd.Series) -> pd.Series:
         out = [kept(t.encode("utf-8", "surrogatepass"), spans([(r["at"], r["starts"]) for r in rs])).decode("utf-8", "ignore") if rs is not None and t is not None else t for t, rs in zip(texts, runs, strict=True)]
         return pd.Series(out, dtype=object)
 
     found = with_spans(docs)
-    cleaned = found.withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(rest("text", "_runs")))
+    whole = F.col("runs").isNull()
+    new = {"text": F.when(whole, F.col("row.text")).otherwise(rest("row.text", "runs"))}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(docs.columns)
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.char_length(new["text"])).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
