@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import written
+from gridhead.llm.common import hash_bar, hash_rank, written
 
 PROJECTIONS = 8
 #: Share of neighbours that the stopping test keeps in expectation, at least.
@@ -34,7 +34,7 @@ CONFIDENCE = 0.97
 SAMPLE, BLOCK, QUERIES, LEAF = 20_000, 8192, 4096, 256
 #: Cells at most, so that each has some rows of the sample.
 CELLS = 512
-#: Rounding that the matrix product may differ by from the exact score.
+#: Rounding of scores and distances, as a share of the norms that go into them.
 SLACK = 1e-9
 
 
@@ -71,7 +71,7 @@ class Projection:
 
     def reach(self, q: np.ndarray, score: np.ndarray, quantile: float) -> np.ndarray:
         """Squared projected distance at which the stopping test holds, for the k-th score so far."""
-        return quantile * np.maximum(2 * self.norm**2 - 2 * self.norm / np.linalg.norm(q, axis=1) * score, 0)
+        return quantile * np.maximum(2 * self.norm**2 - 2 * self.norm / np.linalg.norm(q, axis=1) * score, SLACK * self.norm**2)
 
 
 def _split(points: np.ndarray, size: int) -> list[np.ndarray]:
@@ -121,10 +121,11 @@ class Cells:
         return np.stack([(np.maximum(np.maximum(a - points, points - b), 0) ** 2).sum(1) for a, b in zip(low, high, strict=True)], 1)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, space: Projection, quantile: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, score) of the block's best rows for each query: at most k, at least as good as its bound."""
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, space: Projection, quantile: float, size: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the block's best rows for each query: at most k, at least as good as its bound. `size`: rows of a leaf."""
     projected, at = space.rows(x), space.queries(q)
-    leaves = _split(projected, LEAF)
+    leaves = _split(projected, size)
+    slack = SLACK * space.norm * np.linalg.norm(q, axis=1)  # the matrix product may differ by so much from the exact score
     low, high = (np.stack([f(projected[rows], axis=0) for rows in leaves]) for f in (np.min, np.max))
     far = np.stack([(np.maximum(np.maximum(a - at, at - b), 0) ** 2).sum(1) for a, b in zip(low, high, strict=True)], 1)
     turn = np.argsort(far, axis=1, kind="stable")
@@ -140,7 +141,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         order = np.argsort(leaf, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
             rows, who = leaves[leaf[some[0]]], active[some]
-            i, j = np.nonzero((q[who] @ x[rows].T >= floor[who][:, None] - SLACK) & (query_ids[who][:, None] != ids[rows]))
+            i, j = np.nonzero((q[who] @ x[rows].T >= (floor - slack)[who][:, None]) & (query_ids[who][:, None] != ids[rows]))
             if not len(i):
                 continue
             who, rows = who[i], rows[j]
@@ -155,12 +156,13 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     return number, best_id[number, slot], best[number, slot]
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, confidence: float = CONFIDENCE) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, confidence: float = CONFIDENCE, block: int = BLOCK, queries: int = QUERIES, leaf: int = LEAF) -> DataFrame:
     """`query_id, rank, vec_id, score`: the k best rows found for each row whose id is divisible by `every`, itself left out.
 
     Ordered by inner product (in double precision), ties by the smaller id; fewer than k rows if there are no more.
     Vectors that are null, zero, of an unusual length or hold null or non-finite components take no part; rows that share
-    an id are separate candidates, and the first one by its vector asks. Further columns are ignored.
+    an id are separate candidates, and the first one by its vector asks. Further columns are ignored. `block`, `queries`
+    and `leaf` are the rows of a block, the queries of a task and the rows of a leaf; recall does not depend on them.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors), "ann-rows")
@@ -169,8 +171,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, confidence: float =
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     space, quantile = Projection(d, math.sqrt(head[2]), PROJECTIONS, 11), chi_square(confidence, PROJECTIONS)
-    depth = max(0, math.ceil(math.log2(min(CELLS, n / BLOCK)))) if n > BLOCK else 0
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20))).select("v").limit(2 * SAMPLE)
+    depth = max(0, math.ceil(math.log2(min(CELLS, n / block)))) if n > block else 0
+    chosen = rows.withColumn("rank", hash_rank("vec_id", "v")).where(F.col("rank") < hash_bar(SAMPLE, n)).dropDuplicates(["rank"]).select("v").limit(2 * SAMPLE)
     sample = np.array([r.v for r in chosen.collect()], np.float64).reshape(-1, d)
     cells = Cells(space.rows(sample), depth)
 
@@ -180,27 +182,29 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, confidence: float =
 
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     points = written(rows.mapInArrow(placed, f"vec_id long, v array<{element}>, cell int"), "ann-points")
-    deals = {r["cell"]: math.ceil(r["count"] / BLOCK) for r in points.groupBy("cell").count().collect()}  # a row per cell
+    deals = {r["cell"]: math.ceil(r["count"] / block) for r in points.groupBy("cell").count().collect()}  # a row per cell
     per_cell = spark.createDataFrame(sorted(deals.items()), "cell int, deals int")
     blocked = points.join(F.broadcast(per_cell), "cell").withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.col("deals")).cast("int"))
     asking = points.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.min_by("cell", "v").alias("cell"))
-    chunks = math.ceil(max(1, n // every) / QUERIES)
-    asking = written(asking.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")), "ann-queries")
+    asking = written(asking, "ann-queries")
 
     def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = (np.stack(list(f.v)).astype(np.float64) for f in (left, right))
-        number, ids, score = search_block(left.vec_id.to_numpy(), x, right.vec_id.to_numpy(), q, right.bound.to_numpy(), k, space, quantile)
+        number, ids, score = search_block(left.vec_id.to_numpy(), x, right.vec_id.to_numpy(), q, right.bound.to_numpy(), k, space, quantile, leaf)
         return pd.DataFrame({"query_id": right.vec_id.to_numpy()[number], "vec_id": ids, "score": score})
 
-    def meet(rows_: DataFrame, queries: DataFrame) -> DataFrame:
-        copies = rows_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("cell", "deal", "chunk", "vec_id", "v")
+    def meet(asked: DataFrame) -> DataFrame:
+        # a block's rows are copied only where its queries are too many for one task; blocks without any are not moved
+        parts = asked.groupBy("cell", "deal").agg(F.ceil(F.count("*") / queries).cast("int").alias("chunks"))
+        copies = blocked.join(parts, ["cell", "deal"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "deal", "chunk", "vec_id", "v")
+        dealt = asked.join(parts, ["cell", "deal"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")).cast("int"))
         by = ("cell", "deal", "chunk")
-        return copies.groupBy(*by).cogroup(queries.select(*by, "vec_id", "v", "bound").groupBy(*by)).applyInPandas(searched, "query_id long, vec_id long, score double")
+        return copies.groupBy(*by).cogroup(dealt.select(*by, "vec_id", "v", "bound").groupBy(*by)).applyInPandas(searched, "query_id long, vec_id long, score double")
 
     # first round: the first block of the query's own cell gives a bound
-    first = meet(blocked.where("deal = 0"), asking.withColumn("deal", F.lit(0)).withColumn("bound", F.lit(float("-inf"))))
+    first = meet(asking.withColumn("deal", F.lit(0)).withColumn("bound", F.lit(float("-inf"))))
     bounds = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") >= k)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +212,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, confidence: float =
             q, bound = _matrix(b.column(1), d), b.column(2).to_numpy(zero_copy_only=False)
             i, cell = np.nonzero(cells.distances(space.queries(q)) <= space.reach(q, bound, quantile)[:, None])
             pick = b.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([*pick.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "v", "bound", "chunk", "cell"])
+            yield pa.RecordBatch.from_arrays([*pick.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "v", "bound", "cell"])
 
-    bounded = asking.join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), "chunk")
-    visits = bounded.mapInArrow(routed, f"vec_id long, v array<{element}>, bound double, chunk int, cell int")
+    bounded = asking.join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    visits = bounded.mapInArrow(routed, f"vec_id long, v array<{element}>, bound double, cell int")
     visits = visits.join(F.broadcast(per_cell), "cell").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-    found = meet(blocked, visits)
+    found = meet(written(visits, "ann-visits"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gridhead.llm import ann
 
@@ -27,15 +28,16 @@ def found(df):
     return out
 
 
-def test_recall_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 300)
-    monkeypatch.setattr(ann, "LEAF", 32)
+SMALL = {"block": 300, "queries": 40, "leaf": 32}
+
+
+def test_recall_over_many_blocks(spark):
     rng = np.random.default_rng(1)
     x = (rng.standard_normal((60, 24))[rng.integers(0, 60, 3000)] + 0.4 * rng.standard_normal((3000, 24))).astype(np.float32).astype(float)
     x *= rng.uniform(0.2, 3, (3000, 1))
     x = x.astype(np.float32).astype(float)
     ids = np.arange(3000)
-    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x)))
+    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x), **SMALL))
     hits = sum(len({a for a, _ in got[q]} & {a for a, _ in w}) for q, w in want.items())
     assert set(got) == set(want) and hits >= 0.9 * sum(map(len, want.values()))
     assert all(len(v) == 20 for v in got.values())
@@ -43,14 +45,12 @@ def test_recall_over_many_blocks(spark, monkeypatch):
         assert all(abs(s - x[q] @ x[v]) < 1e-9 for v, s in rows) and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
 
 
-def test_ties_go_to_smaller_ids_even_in_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 100)
-    monkeypatch.setattr(ann, "LEAF", 16)
+def test_ties_go_to_smaller_ids_even_in_a_hot_group(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 8)).astype(np.float32).astype(float)
     x[rng.permutation(900)[:400]] = x[0]
     ids = rng.permutation(900)
-    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x)))
+    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x), block=100, queries=7, leaf=16))
     same = [q for q in want if [a for a, _ in want[q]] == [a for a, _ in got[q]]]
     assert len(same) >= 0.9 * len(want)
 
@@ -70,3 +70,42 @@ def test_few_rows(spark):
 def test_repeated_ids(spark):
     got = found(ann.search(frame(spark, [0, 0, 5, 5], [[1, 0], [2, 0], [1, 0], [3, 0]])))
     assert got == {0: [(5, 3.0), (5, 1.0)]}
+
+
+@pytest.mark.parametrize("norm", [1e-6, 1.0, 1e4, 1e8])
+def test_no_neighbour_is_lost_to_rounding(spark, norm):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8))
+    x[rng.permutation(400)[:60]] = x[0]
+    x = (x * norm).astype(np.float32).astype(float)
+    ids = rng.permutation(400)
+    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x), confidence=0.999999, block=90, queries=5, leaf=16))
+    assert {q: [a for a, _ in w] for q, w in want.items()} == {q: [a for a, _ in w] for q, w in got.items()}
+
+
+def test_a_block_is_walked_leaf_by_leaf():
+    """With bounds from a first pass, small leaves and equal vectors, each list is whole."""
+    rng = np.random.default_rng(5)
+    for norm in (1e-6, 1.0, 1e4, 1e8):
+        x = rng.standard_normal((400, 8)) * norm
+        x[rng.permutation(400)[:60]] = x[7]
+        ids, q = np.arange(400), x[:20]
+        space = ann.Projection(8, float(np.linalg.norm(x, axis=1).max()), ann.PROJECTIONS, 11)
+        bound = np.full(20, -np.inf)
+        for _ in range(2):
+            number, found_, score = ann.search_block(ids, x, ids[:20], q, bound, 20, space, ann.chi_square(0.999999, ann.PROJECTIONS), 16)
+            bound = np.array([score[number == i].min() for i in range(20)])
+        for i in range(20):
+            s = np.einsum("j,ij->i", q[i], x)
+            s[i] = -np.inf
+            assert found_[number == i].tolist() == np.lexsort((ids, -s))[:20].tolist()
+
+
+def test_rows_travel_once_for_each_chunk_of_queries(spark):
+    """Copies of a block follow its own visits, not all queries."""
+    assert ann.QUERIES >= 1000 and ann.BLOCK >= 1000
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((200, 4)) + 50 * k for k in range(4)]).astype(np.float32).astype(float)
+    ids = np.arange(800)
+    want, got = brute(ids, x), found(ann.search(frame(spark, ids, x), block=100, queries=3))
+    assert {q: [a for a, _ in w] for q, w in want.items()} == {q: [a for a, _ in w] for q, w in got.items()}
