@@ -11,15 +11,16 @@ the driver has a fixed size (landmarks x dimensions bits, sample x landmarks ker
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import blocks, code_points
+from gridhead.llm.common import blocks, code_points, hash_bar, hash_rank, unused
 from gridhead.llm.quality import held_out
 
 #: Labelled rows that the regression is fitted on, and those of them that serve as landmarks, about.
@@ -78,20 +79,33 @@ def _low(texts) -> list[str]:
     return [(t or "").lower() for t in texts]
 
 
+def sampled(known: DataFrame, counts: dict[str, int], limit: int) -> DataFrame:
+    """`text, lang`: of each language as many of the rows of `known` (doc_id, text, lang) as of any other, `limit` in all, about.
+
+    Chosen by a hash of the id; rows that share an id are one example (the one of the least text), so that they cannot
+    enlarge the sample. A language has a row at least where it has rows, and twice its even share at most.
+    """
+    each = max(1, math.ceil(limit / len(counts)))
+    # twice as many by the hash, the first of which are taken: a language is not left out by chance
+    bars = known.sparkSession.createDataFrame([(k, hash_bar(2 * each + 8, n)) for k, n in counts.items()], "lang string, bar long")
+    picked = known.withColumn("at", hash_rank("doc_id")).join(F.broadcast(bars), "lang").where("at < bar")
+    single = picked.groupBy("lang", "at").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("at")
+    return single.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("text", "lang")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS) -> dict | None:
-    """The model from `docs` (doc_id, text, lang), or None without a usable row. Rows with a null id, text or lang teach nothing."""
+    """The model from `docs` (doc_id, text, lang), or None without a usable row. Rows with a null id, text or lang teach nothing.
+
+    Each different lang is a class with weights of its own: a few hundred at most.
+    """
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return None
-    langs, parts = sorted(counts), 1 << 24
+    langs = sorted(counts)
     spark = docs.sparkSession
 
-    def under(limit: int):
-        bars = spark.createDataFrame([(k, int(min(1.0, limit / len(langs) / n) * parts)) for k, n in counts.items()], "lang string, bar int")
-        picked = known.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).join(F.broadcast(bars), "lang")
-        return picked.where("at < bar").select("text", "lang", "at")
-
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = _low(b.column(0).to_pylist())
@@ -99,7 +113,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS) -
                 found, letters = presence(texts[cut])
                 yield pa.RecordBatch.from_pydict({"found": pa.array([np.packbits(f).tobytes() if ok else None for f, ok in zip(found, letters, strict=True)], pa.binary())})
 
-    rows = under(n_landmarks).mapInArrow(grams, "found binary").where("found IS NOT NULL").distinct().orderBy("found").collect()
+    rows = sampled(known, counts, n_landmarks).mapInArrow(grams, "found binary").where("found IS NOT NULL").distinct().orderBy("found").collect()
     if not rows:
         return None
     landmarks = np.stack([np.unpackbits(np.frombuffer(r.found, np.uint8)) for r in rows]).astype(np.float32)
@@ -114,16 +128,22 @@ def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS) -
                 k = kernel(found, shared.value)
                 yield pa.RecordBatch.from_pydict({"lang": b.column(1).slice(cut.start, cut.stop - cut.start), "k": pa.array([v.tobytes() if ok else None for v, ok in zip(k, letters, strict=True)], pa.binary())})
 
-    fitted = under(sample).mapInArrow(values, "lang string, k binary").where("k IS NOT NULL").orderBy("k", "lang").collect()
+    fitted = sampled(known, counts, sample).mapInArrow(values, "lang string, k binary").where("k IS NOT NULL").orderBy("k", "lang").collect()
     k = np.stack([np.frombuffer(r.k, np.float32) for r in fitted]).astype(np.float64)
     y = (np.array([r["lang"] for r in fitted])[:, None] == np.array(langs)[None, :]).astype(np.float64)
-    own = (landmarks @ landmarks.T).astype(np.float64)
-    normal = k.T @ k + RIDGE * len(k) * own + 1e-8 * np.eye(len(own))
-    return {"landmarks": landmarks, "weights": np.linalg.solve(normal, k.T @ y).astype(np.float32), "langs": langs}
+    return {"landmarks": landmarks, "weights": solved(k, (landmarks @ landmarks.T).astype(np.float64), y).astype(np.float32), "langs": langs}
+
+
+def solved(k: np.ndarray, own: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The landmarks' weights of kernel ridge regression: `k` rows x landmarks, `own` landmarks x landmarks, `y` a column of 0 and 1 per class."""
+    return np.linalg.solve(k.T @ k + RIDGE * len(k) * own + 1e-8 * np.eye(len(own)), k.T @ y)
 
 
 def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """`docs` with `lang_pred` and `score` (0 to 1) from the whole text alone; `und` and 0 for null texts and texts without a letter."""
+    """`docs` with `lang_pred` and `score` (0 to 1) from the whole text alone; `und` and 0 for null texts and texts without a letter.
+
+    Columns of these names in `docs` are replaced. A very long text is read whole, in a block of its own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -139,14 +159,16 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
                 scores[cut] = np.where(letters, np.clip(y.max(1), 0, 1), 0)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_guess", guess(F.col(text))).select(*docs.columns, "_guess.lang_pred", "_guess.score")
+    name = unused("guess", docs)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn(name, guess(F.col(text))).select(*kept, f"{name}.lang_pred", f"{name}.score")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS) -> DataFrame:
     """`doc_id, held_out, lang_pred, score` of every row of `docs`, learnt from the rows that are not held out.
 
-    Equal texts have equal results; ids may repeat or be null. Without any labelled row all predictions are `und`.
-    Further columns are ignored. An empty table gives an empty result.
+    Equal texts have equal results; ids may repeat or be null; texts of any length are read whole. Without any labelled
+    row all predictions are `und`. Further columns are ignored. An empty table gives an empty result.
     """
     out = held_out(F.col("doc_id"), 4, 2)
     model = train(docs.select("doc_id", "text", "lang").where(~out), sample, n_landmarks)

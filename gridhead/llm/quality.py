@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import blocks, code_points, mix, shingles, span_hashes, words, written
+from gridhead.llm.common import blocks, code_points, hash_bar, hash_rank, mix, shingles, span_hashes, words, written
 
 #: Labelled rows that the model is fitted on, about.
 SAMPLE = 12_000
@@ -130,14 +130,14 @@ def _fitted(rows: list[np.ndarray], positive: np.ndarray) -> tuple[np.ndarray, n
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model from `docs` (doc_id, text) and `labels` (doc_id, quality): arrays of fixed size, whatever the input's.
 
-    Rows with a null id or label teach nothing; a document with both labels counts as 1. With fewer than 20
-    labelled rows, or of one class only, the model is the smoothed share of label 1.
+    Rows with a null id or label teach nothing; a document with both labels counts as 1, and one with several rows is
+    one example. With fewer than 20 labelled rows, or of one class only, the model is the smoothed share of label 1.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("quality"))
-    parts = 1 << 20
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(share * parts)), "quality-labels")
-    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    chosen = written(known.where(hash_rank("doc_id") < hash_bar(sample, known.count())), "quality-labels")
+    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # a document that has several rows is one example, the one of its least text
+    taught = taught.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("quality").alias("quality")).select("text", "quality")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,8 +194,8 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """`doc_id, held_out, score, predicted` of every row of `docs`, learnt from the labels of rows that are not held out.
 
-    Null and empty texts are scored as texts without features. Equal texts have equal scores; ids may repeat.
-    Further columns are ignored. An empty table gives an empty result.
+    Null and empty texts are scored as texts without features, very long ones whole. Equal texts have equal scores; ids
+    may repeat or be null. Further columns are ignored. An empty table gives an empty result.
     """
     model = train(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), sample)
     scored = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), score_column(docs, model).alias("score"))

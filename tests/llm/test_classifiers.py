@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridhead.llm import langid, quality
+from gridhead.llm.common import HASH_RANGE, hash_bar
 from gridhead.llm.queries import QUERIES
 from tests.llm.helpers import SF, clashing, documents, prose
 
@@ -91,3 +92,123 @@ def test_kernel_is_the_shared_share_of_n_grams():
 
 def test_held_out_of_null(spark):
     assert spark.range(1).select(quality.held_out(F.lit(None).cast("long"), 5, 0)).first()[0] is False
+
+
+def plain_grams(text: str) -> set[int]:
+    """The hashed 1- to 3-grams of a text, one by one in plain numbers."""
+    out = set()
+    for n in (1, 2, 3):
+        for i in range(len(text) - n + 1):
+            code = 0
+            for k, c in enumerate(text[i : i + n]):
+                code = ((code + ord(c)) * 0x9E3779B1) % 2**32 if k else ord(c) * 0x9E3779B1 % 2**32
+            code ^= code >> 15
+            out.add((code * 0x85EBCA6B % 2**32) >> (32 - langid.BITS))
+    return out
+
+
+def test_language_scores_equal_a_plain_ridge_regression(spark):
+    """Kernel values from sets, the regression by least squares on a stretched system, over whole small tables."""
+    rng = random.Random(11)
+    texts = [prose(rng, 12) if i % 2 else " ".join(rng.choice("zum der ich auf nicht wir".split()) for _ in range(12)) for i in range(80)]
+    langs = ["en" if i % 2 else "de" for i in range(80)]
+    got = {r.doc_id: r for r in langid.identify(documents(spark, texts, langs=langs), 10**6, 10**6).collect()}
+    taught = [i for i in range(80) if not got[i].held_out]
+    grams = [plain_grams(t.lower()) for t in texts]
+
+    def alike(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b))
+
+    marks = list(map(set, {tuple(sorted(grams[i])) for i in taught}))
+    k = np.array([[alike(grams[i], m) for m in marks] for i in taught])
+    own = np.array([[alike(a, b) for b in marks] for a in marks])
+    y = np.array([[langs[i] == c for c in ("de", "en")] for i in taught], float)
+    root = np.linalg.cholesky(langid.RIDGE * len(taught) * own + 1e-8 * np.eye(len(marks))).T
+    weights = np.linalg.lstsq(np.vstack([k, root]), np.vstack([y, np.zeros((len(marks), 2))]), rcond=None)[0]
+    for i in range(80):
+        values = np.array([alike(grams[i], m) for m in marks]) @ weights
+        assert abs(got[i].score - min(1, max(0, values.max()))) < 5e-3 and got[i].lang_pred == ("de", "en")[int(values.argmax())]
+
+
+def test_quality_ratios_and_scores_equal_plain_sums(spark, learnable):
+    texts, labels = learnable
+    docs, marks = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(docs, marks, 10**6)
+    own = [set(quality.features([t])[1].tolist()) for t in texts]
+    counts = {side: {} for side in (0, 1)}
+    for i, y, _ in labels:
+        for f in own[i]:
+            counts[y][f] = counts[y].get(f, 0) + 1
+    total = {side: sum(c.values()) + quality.DIMENSIONS for side, c in counts.items()}
+    for f in set().union(*own[:40]):
+        want = np.log((counts[1].get(f, 0) + 1) / total[1]) - np.log((counts[0].get(f, 0) + 1) / total[0])
+        assert abs(model["ratio"][f] - want) < 1e-5
+    got = {r.doc_id: r.s for r in docs.select("doc_id", quality.score_column(docs, model).alias("s")).collect()}
+    for i in range(0, 300, 7):
+        length = sum(float(model["ratio"][f]) ** 2 for f in own[i]) ** 0.5
+        margin = sum(float(model["weight"][f]) for f in own[i]) / length
+        assert abs(got[i] - 1 / (1 + np.exp(-(model["slope"] * margin + model["offset"])))) < 1e-6
+
+
+def test_descent_finds_the_optimum_of_the_dual(monkeypatch):
+    """Against projected gradient steps on the dense dual problem."""
+    monkeypatch.setattr(quality, "EPOCHS", 3000)
+    rng = np.random.default_rng(1)
+    ratio = rng.standard_normal(quality.DIMENSIONS)
+    rows = [np.unique(rng.integers(0, 60, 12)) for _ in range(40)]
+    label = np.where(rng.random(40) < 0.5, 1.0, -1.0)
+    cost = rng.uniform(0.3, 1.5, 40)
+    x = np.zeros((40, 60))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    signed = x * label[:, None]
+    alpha = np.zeros(40)
+    step = 1 / np.linalg.eigvalsh(signed @ signed.T).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (signed @ (alpha @ signed) - 1), 0, cost)
+    value = [0.5 * w @ w + cost @ np.maximum(0, 1 - signed @ w) for w in (quality._descent(rows, ratio, label, cost)[:60], alpha @ signed)]
+    assert abs(value[0] - value[1]) < 2e-2 * value[1]
+
+
+def test_samples_of_any_size():
+    """A share of a table of a trillion rows is small but never nothing."""
+    for n in (1, 7, 10**4, 10**9, 10**12, 10**15):
+        for wanted in (1, 8, 32, 6_000, 20_000):
+            bar = hash_bar(wanted, n)
+            assert bar >= 1 and abs(bar / HASH_RANGE * n - min(wanted, n)) <= 1e-3 * wanted
+
+
+def test_sample_has_every_language_and_repeated_ids_once(spark):
+    rows = [(i % 5 if i < 2000 else i, f"t{i}", "en") for i in range(4000)] + [(9000 + i, "x", f"l{i % 30}") for i in range(90)] + [(9999, "only", "rare")]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    got = langid.sampled(known, counts, 64).collect()
+    each = {k: sum(r["lang"] == k for r in got) for k in counts}
+    assert min(each.values()) >= 1 and max(each.values()) <= 2 and len(got) <= 64
+    everything = langid.sampled(known, counts, 10**6).where("lang = 'en'").collect()
+    assert len(everything) == 2005 and {"t0", "t1", "t1002"} <= {r.text for r in everything}
+    assert set(each) == set(counts)
+
+
+def test_repeated_documents_do_not_enlarge_the_fitting_set(spark, learnable):
+    texts, labels = learnable
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = documents(spark, texts)
+    often = documents(spark, texts + [texts[0]] * 500, ids=[*range(300), *[0] * 500])
+    a, b = quality.train(once, marks), quality.train(often, marks)
+    assert np.array_equal(a["weight"], b["weight"]) and a["slope"] == b["slope"]
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    texts, ids = ["one two three", "one two three", None, "vier fünf"], [None, 5, 5, None]
+    docs = documents(spark, texts, ids=ids)
+    labels = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int")
+    for rows in (langid.identify(docs).collect(), quality.score_quality(docs, labels).collect()):
+        assert sorted(r.doc_id or 0 for r in rows) == [0, 0, 5, 5] and all(not r.held_out for r in rows if r.doc_id is None)
+
+
+def test_prediction_replaces_columns_of_its_names(spark):
+    docs = documents(spark, ["abc"]).withColumns({"lang_pred": F.lit("old"), "score": F.lit(7), "guess": F.lit(1)})
+    got = langid.predict(docs, None)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "guess", "lang_pred", "score"]
+    assert got.first().lang_pred == "und"
