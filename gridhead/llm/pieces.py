@@ -295,10 +295,12 @@ def decode(ids: np.ndarray, path: str) -> str:
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`docs` without its text, with `ids` (array<int>) and `n_pieces` of the whole text, and `round_trip`: whether decoding gives the text again.
 
-    A null or empty text has no pieces. A U+2581 in a text is decoded as a blank, as the model cannot tell them apart;
-    `round_trip` compares with that in mind. Equal texts have equal pieces; other columns stay as they are.
+    A null or empty text has no pieces; a very long one is encoded whole. A U+2581 in a text is decoded as a blank, as the
+    model cannot tell them apart; `round_trip` compares with that in mind. Equal texts have equal pieces; other columns
+    stay as they are, but for columns of the three names, which are replaced.
     """
-    others = [c for c in docs.columns if c != text]
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
+    others = [c for c in docs.columns if c != text and c not in {f.name for f in made}]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
@@ -310,11 +312,10 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 edges = np.concatenate(([0], np.cumsum(n)))
                 same = [decode(ids[a:z], path) == t.replace(BLANK, " ") for a, z, t in zip(edges[:-1], edges[1:], texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(n.astype(np.int32)), pa.array(same)], names=[*others, "ids", "n_pieces", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(n.astype(np.int32)), pa.array(same)], names=[*others, *(f.name for f in made)])
 
     rows = docs.select(*others, text)
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(encode, T.StructType([*rows.schema.fields[:-1], *made]))
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from gridhead.llm.common import partitions
 
-#: Buckets of pre-tokens at most: with more, the packed rows of a batch would become too small.
-MAX_BUCKETS = 4096
+#: Pre-tokens whose piece counts a task keeps at most; it forgets them all beyond that.
+KEPT = 500_000
 #: Documents of a batch at most (their positions in it are 16-bit).
 MAX_BATCH = 60_000
 #: Stands for a null id inside the packed rows.
@@ -112,12 +112,13 @@ def _packed(batch: int, ids: np.ndarray, texts: list[str | None], n_bytes: np.nd
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col, n_bytes, n_tokens` of every row of `docs`: its whole text's UTF-8 bytes and tokens.
 
-    A null text counts as empty (0 bytes, 0 tokens). Ids may repeat or be null: each row is counted for itself.
+    A null text counts as empty (0 bytes, 0 tokens); a very long one is counted whole. Ids may repeat or be null: each
+    row is counted for itself.
     Strings of added tokens inside a text are one token each, as the library's default has it.
     `tokenizer_path` must be readable on the executors. An empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    buckets = min(MAX_BUCKETS, partitions(docs))
+    buckets = partitions(docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = itertools.count(TaskContext.get().partitionId() << 32)
@@ -133,6 +134,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tok = _tokenizer(tokenizer_path)[0]
         pieces: dict[str, int] = {}  # of this partition's share of the pre-tokens
         for b in batches:
+            if len(pieces) > KEPT:
+                pieces.clear()
             new = list(dict.fromkeys(t for t in b.column(2).flatten().to_pylist() if t not in pieces))
             pieces.update(zip(new, _sizes(tok, new), strict=True))
             out = {k: [] for k in ("batch", "docs", "sums", "ids", "n_bytes")}
@@ -162,6 +165,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     if id_type not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be an integer column")
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, _PACKED)
-    summed = packed.repartition(buckets, "bucket").mapInArrow(count, _SUMS)
+    summed = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(count, _SUMS)
     counted = summed.groupBy("batch").applyInPandas(total, "id long, n_bytes long, n_tokens long")
     return counted.select(F.nullif(F.col("id"), F.lit(NO_ID)).cast(id_type).alias(id_col), "n_bytes", "n_tokens")

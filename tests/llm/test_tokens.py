@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridhead.llm import pieces, token_counts
@@ -32,10 +33,25 @@ def test_token_counts_of_nulls_and_repeats(spark):
     assert token_counts.token_counts(docs.limit(0), BPE).isEmpty()
 
 
+def test_piece_counts_are_forgotten_without_harm(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT", 3)
+    texts = odd_texts()
+    tok = Tokenizer.from_file(BPE)
+    docs = documents(spark, texts).repartition(20)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, BPE).collect()}
+    assert got == {i: len(e.ids) for i, e in enumerate(tok.encode_batch(texts, add_special_tokens=False))}
+
+
+def test_buckets_fill_all_tasks(spark):
+    packed = spark.range(0, 4000).select((F.col("id") % 50).cast("int").alias("bucket"))
+    each = packed.repartitionById(50, F.col("bucket")).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(each) == 50 and {r["count"] for r in each} == {80}
+
+
 def test_pieces_equal_the_library(spark):
     texts = odd_texts() + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     sp = sentencepiece.SentencePieceProcessor(model_file=SP)
-    docs = clashing(documents(spark, [*texts, None])).drop("ids")
+    docs = clashing(documents(spark, [*texts, None]))
     encoded = pieces.encode_texts(docs, SP)
     rows = {r.doc_id: r for r in pieces.decode_ids(encoded, SP).collect()}
     want = sp.encode(texts)
