@@ -65,11 +65,41 @@ def _absolute(url: Column, link: Column) -> Column:
     )
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` segments."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    whole = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def walked(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    resolved = F.array_join(F.aggregate(whole, F.array().cast("array<string>"), walked), "/")
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), resolved).otherwise(path)
+
+
+def _decoded(text: Column) -> Column:
+    """Text of an HTML attribute with its character references below 256 read: numeric ones, and those that addresses hold by name."""
+
+    def numeric(text: Column, pattern: str, base: int) -> Column:
+        codes = F.regexp_extract_all(text, F.lit(f"(?i)&#{pattern};"), F.lit(1))
+        between = F.split(text, f"(?i)&#{pattern};", -1)
+        read = F.transform(codes, lambda c: F.char(F.conv(c, base, 10).cast("int")))
+        pieces = F.zip_with(between, F.concat(read, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+        return F.when(text.rlike(f"(?i)&#{pattern};"), F.array_join(pieces, "")).otherwise(text)
+
+    plain = numeric(numeric(text, "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])", 10), "x0*([0-9a-f]{1,2})", 16)
+    for name, value in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):  # the ampersand last: it is read once
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(value))
+    return plain
+
+
 def node_of(url: Column) -> Column:
-    """A URL as a node of the alias graph: without fragment and outer blanks, the scheme and host lower-cased."""
+    """A URL as a node of the alias graph: without fragment, dot segments and outer blanks, the scheme and host lower-cased."""
     bare = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
     front = F.regexp_extract(bare, r"(?s)^[^:/?#]*://[^/?#]*", 0)
-    return F.concat(F.translate(front, _UPPER, _LOWER), F.substr(bare, F.length(front) + 1))
+    path = F.regexp_extract(F.substr(bare, F.length(front) + 1), r"(?s)^[^?]*", 0)
+    return F.concat(F.translate(front, _UPPER, _LOWER), _without_dots(path), F.substr(bare, F.length(front) + F.length(path) + 1))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -78,7 +108,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     tag = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
     canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
     redirect = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1))
-    links = tag.select("url", F.trim(F.coalesce(canonical, redirect)).alias("link")).where("link <> ''")
+    links = tag.select("url", F.trim(_decoded(F.coalesce(canonical, redirect))).alias("link")).where("link <> ''")
     return links.select(node_of(F.col("url")).alias("u"), node_of(_absolute(F.trim("url"), F.col("link"))).alias("v"))
 
 
@@ -86,7 +116,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """`page_id, host, path, rule, verdict, component` of every row of `pages` (page_id, url, html).
 
     A null url or one without `://` has an empty host and path, no rule and verdict allow. `component` is the
-    least alias, null for a URL without aliases. Equal rows give equal results; further columns are ignored.
+    least alias, null for a URL without aliases. Rows may repeat, page_id too: equal rows give equal results. A very long
+    html is searched whole. Further columns are ignored. An empty table gives an empty result.
     """
     edges = written(alias_edges(pages.select("url", "html")).distinct(), "url-edges")
     nodes = components(edges, "url-components")

@@ -55,6 +55,25 @@ def test_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "allow", 10: "allow", 11: "block"}
 
 
+def test_addresses_in_other_forms(spark):
+    """Character references and dot segments name the same node; a long page hides no link."""
+    long = "<p>" + "x" * 2_000_000 + "</p>"
+    rows = [
+        (1, "http://a.example/p?a=1&b=2", None),
+        (2, "http://b.example/", link("http://a.example/p?a=1&amp;b=2")),
+        (3, "http://bad.com/en/3", link("http://a.example/p?a=1&#38;b=2")),
+        (4, "http://c.example/x/y/z", long + link("../../q/./r")),
+        (5, "http://c.example/q/r", refresh("http://bad.com/en/../en/4")),
+        (6, "http://d.example/x", link("http&#x3a;//bad.com/en/5/..")),
+        (7, "http://d.example/&amp;amp;", link("http://e.example/?&amp;amp;#x")),
+        (8, "http://e.example/?&amp;", link("http://bad.com/en/6")),
+        (8, "http://e.example/?&amp;", link("http://bad.com/en/6")),
+        (9, "http://bad.com/en/", None),
+    ]
+    got = {k: v[3] for k, v in judged(spark, rows).items()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block", 9: "block"}
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
 
