@@ -1,8 +1,12 @@
 """A training corpus from raw documents: five stages, each a table that the next one reads.
 
 Every stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of `documents`.
-The results depend on trained weights and hashed samples, so SQL cannot express the whole; the tests hold each
-stage against a brute-force version of it on small tables.
+The results depend on trained weights and hashed samples, so SQL cannot express the whole. The tests hold the stages
+of near duplicates, repeated strings, benchmark items and pieces against brute-force versions or the library on small
+tables; the classifier's parts are held against plain sums and an exact solution of its fit in its own tests.
+
+Null, empty, repeated and very long texts, repeated and null ids, further columns and empty tables are handled as each
+stage's operator says; the result has a row per document that is left.
 """
 
 from __future__ import annotations
