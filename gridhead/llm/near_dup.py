@@ -282,7 +282,11 @@ def _sharing(rows: DataFrame) -> DataFrame:
     """
     share = F.ceil(F.sum(F.length("apart")) / (8 * ENTRIES)).cast("int").alias("shares")
     shares = rows.groupBy("v").agg(share)
-    full = rows.join(shares, "v").join(_common(rows), "v", "left")
+    full = rows.join(shares, "v")
+    if rows.where(F.col("size") > FEW).isEmpty():
+        full = full.withColumns({c: F.lit(None).cast("binary") for c in ("common", "times")})
+    else:
+        full = full.join(_common(rows), "v", "left")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,8 +347,8 @@ def _left_apart(compared: DataFrame, joined: DataFrame, sets: DataFrame) -> tupl
     rows = compared.join(of[0], "u", "left").join(of[1], "v", "left").withColumns({"u_in": F.coalesce("u_in", "u"), "v_in": F.coalesce("v_in", "v")})
     groups = rows.groupBy("v").agg(F.count("*").alias("size"), F.min("u_in").alias("a"), F.max("u_in").alias("b")).where("a < b").select("v", "size")
     rows = written(rows.join(groups, "v").select("u", "v", "n", "m", "apart", "u_in", "v_in", "size"), "dup-apart")
-    better = _central(rows)
-    if better.isEmpty():
+    better = None if rows.where(F.col("size") > FEW).isEmpty() else _central(rows)
+    if better is None or better.isEmpty():
         return _sharing(rows), compared.limit(0).select("u", "v")
     moved = rows.join(better, "v")
     pairs = moved.select("u", F.col("better").alias("v")).unionByName(better.select(F.col("v").alias("u"), F.col("better").alias("v"))).where("u <> v").distinct()
@@ -374,7 +378,8 @@ def classes(docs: DataFrame) -> DataFrame:
     joined = written(components(compared.where("linked").select("u", "v"), "dup-components"), "dup-joined")
     apart, more = _left_apart(compared, joined, sets)
     more = more.unionByName(_compared(apart, sets, differences=False).where("linked").select("u", "v"))
-    final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "dup-classes")
+    stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    final = joined if more.isEmpty() else components(stars.unionByName(more), "dup-classes")
 
     grouped = texts.select("node", "k1", "k2", "rep").join(final, "node")
     least = grouped.groupBy("component").agg(F.min("rep").alias("class_id"))
