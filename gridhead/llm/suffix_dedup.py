@@ -409,7 +409,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
         alone = odd.where("contents = 1").select("h")
         starts.append(contents.join(alone, "h", "left_semi").select("h", "f", F.substring(F.lit(_EVERY), F.lit(1), F.col("span") + 1).alias("starts")))
         contents = contents.join(alone, "h", "left_anti")
-    wanted = contents.groupBy("key", "also").agg(F.collect_list(F.struct("h", "f", "m", "at", "span")).alias("wanted"))
+    # a table of its own, so that the join with it can be split where many texts are equal
+    wanted = written(contents.groupBy("key", "also").agg(F.collect_list(F.struct("h", "f", "m", "at", "span")).alias("wanted")), "suffix-wanted")
     data = _cut_out(keyed.where("row.text IS NOT NULL").select("key", "also", "row.text").join(wanted, ["key", "also"]))
     many = odd.where(F.col("contents") > SPLIT).select("h")
     if many.isEmpty():
