@@ -133,9 +133,11 @@ def preview_long(scored: DataFrame, max_rows: int = MAX_ROWS, preview: int = PRE
     The header row alone works out its columns; the rows below it take them over a window of the same partitioning.
     """
     index = F.col("header_row_index")
-    columns = F.when(F.col("row_idx") == index, preview_columns(by_name(headers_of(F.col("cells")))))
     near = with_header_index(scored, max_rows).where(F.col("row_idx").between(index, index + preview))
+    # a column of its own, as it is read for every element
+    named = near.withColumn("_ordered", F.when(F.col("row_idx") == index, by_name(headers_of(F.col("cells")))))
     order = Window.partitionBy("sheet_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = near.withColumn("_columns", F.last(columns, ignorenulls=True).over(order)).where(F.col("row_idx") > index)
+    columns = F.last(preview_columns(F.col("_ordered")), ignorenulls=True).over(order)
+    below = named.withColumn("_columns", columns).where(F.col("row_idx") > index)
     cells = below.select("sheet_id", (F.col("row_idx") - index).alias("preview_no"), "cells", F.explode("_columns").alias("c"))
     return cells.select("sheet_id", "preview_no", F.col("c.name").alias("name"), preview_value(F.col("cells"), F.col("c.place")).alias("value"))
