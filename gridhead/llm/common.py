@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridhead.sources.shared import shared_path
 
@@ -32,6 +33,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_key(df: DataFrame, key: str, columns: str) -> T.StructType:
+    """The schema of `columns` behind the key of `df`, in the key's own type."""
+    return T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(columns).fields])
+
+
 def partitions(df: DataFrame, least: int = 1) -> int:
     """Partitions for a shuffle whose volume follows the input's."""
     return max(least, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridhead.llm import ann, decontaminate, langid, near_dup, pieces, quality, suffix_dedup, token_counts, url_filter, warc
+from gridhead.llm import ann, decontaminate, langid, licenses, merkle, near_dup, pieces, quality, suffix_dedup, token_counts, url_filter, warc
 from gridhead.llm.common import table
 
 
@@ -53,7 +53,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_token_counts, op8_quality, op9_near_duplicates, op10_decontaminate)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    labels = (F.array_join(c, ",").alias(c) for c in ("base_labels", "labels"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *labels, "score")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts claimed are the table's own, but that half of the documents lose their line ends."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claimed = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proofs = merkle.prove(table(spark, sf_dir, "documents"), claimed)
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", verified)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_token_counts, op8_quality, op9_near_duplicates, op10_decontaminate, op11_license_scan, op13_merkle_manifest)}
 
 ORACLES = {
     "op1_warc_revisits": """

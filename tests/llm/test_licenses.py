@@ -1,0 +1,137 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from gridhead.llm import licenses
+from gridhead.llm.queries import op11_license_scan
+from tests.llm.helpers import SF, clashing, documents
+
+
+def base_by_hand(text):
+    """Words, and first words of base phrases, by the definition, on characters."""
+    low = re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or "")
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    places = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in licenses.BASE.items()}
+    every = sorted(i for found in places.values() for i in found)
+    return len(words), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(k for k, v in places.items() if v))
+
+
+def odd_texts():
+    rng = random.Random(11)
+    parts = ["cc", "by", "CC BY", "nc", "4.0", "general", "Public", "License", "GNU", "all rights", "reserved", "All Rights Reserved.", "é", "日本", "-", "\n", "\0", "x1", "İ", "ÀB", "mit license", "or", "SPDX-License-Identifier:", "MIT", "(", ")"]
+    made = ["".join(rng.choice(parts) + rng.choice(["", " ", "  ", "-"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    return [None, "", " ", "cc", "cc by", "xcc by", "cc byé", "cc by cc by", "all rights reserved " * 3000, "x" * 100_000, *made]
+
+
+def test_base_equals_the_definition(spark):
+    texts = odd_texts()
+    rows = licenses.scan(clashing(documents(spark, texts))).collect()
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base_labels)) for r in rows}
+    assert got == {i: base_by_hand(t) for i, t in enumerate(texts)}
+    assert all(set(r.base_labels) <= set(r.labels) and r.labels == sorted(set(r.labels)) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_query_equals_the_definition(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op11_license_scan(spark, SF).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows} == {i: base_by_hand(t) for i, t in texts.items()}
+    assert len(rows) == len(texts) and any("apache-2.0" in r.labels for r in rows) and any(r.score == 0 for r in rows)
+
+
+class Descent:
+    """Reads an expression by recursive descent, as the grammar is usually written."""
+
+    def __init__(self, tokens):
+        self.tokens = tokens
+
+    def either(self):
+        left = self.both()
+        while self.tokens and self.tokens[0] == "or":
+            self.tokens.pop(0)
+            left = min(left, self.both())
+        return left
+
+    def both(self):
+        left = self.excepted()
+        while self.tokens and self.tokens[0] == "and":
+            self.tokens.pop(0)
+            left = max(left, self.excepted())
+        return left
+
+    def excepted(self):
+        value = self.one()
+        while self.tokens and self.tokens[0] == "with":
+            self.tokens.pop(0)
+            self.one()
+            value = min(value, licenses.EXCEPTED)
+        return value
+
+    def one(self):
+        token = self.tokens.pop(0)
+        if token != "(":
+            return licenses.LICENCES.get(token, 0.0)
+        value = self.either()
+        assert self.tokens.pop(0) == ")"
+        return value
+
+
+def expression(rng, depth):
+    kind = rng.randrange(5 if depth else 1)
+    if kind == 0:
+        return [rng.choice(["mit", "gpl-3.0", "mpl-2.0", "cc-by-nc-4.0", "unlicense", "agpl-3.0"])]
+    if kind == 1:
+        return ["(", *expression(rng, depth - 1), ")"]
+    if kind == 2:
+        return ["gpl-2.0", "with", "classpath-exception-2.0"]
+    return [*expression(rng, depth - 1), rng.choice(["and", "or"]), *expression(rng, depth - 1)]
+
+
+def test_expressions_equal_recursive_descent():
+    rng = random.Random(3)
+    for _ in range(500):
+        tokens = expression(rng, 5)
+        text, value = licenses.evaluated(licenses.postfix([t.upper() if rng.random() < 0.3 else t for t in tokens]))
+        assert value == Descent(list(tokens)).either(), tokens
+        # the text written out, with all its parentheses, means the same
+        again = text.replace("(", " ( ").replace(")", " ) ").lower().split()
+        assert licenses.evaluated(licenses.postfix(again)) == (text, value)
+
+
+def test_what_does_not_continue_an_expression_ends_it():
+    def read(text):
+        order = licenses.postfix(text.split())
+        return licenses.evaluated(order)[0] if order else None
+
+    assert read("MIT and then some") == "mit"
+    assert read("MIT OR ( Apache-2.0 AND") == "(mit OR apache-2.0)"
+    assert read("MIT OR ( Apache-2.0 AND GPL-3.0-only )  ) foo") == "(mit OR (apache-2.0 AND gpl-3.0))"
+    assert read("MIT OR ( foo )") == "mit"
+    assert read("GPL-2.0+ Apache-2.0") == "gpl-2.0"
+    assert [read(t) for t in ("", "or MIT", ") MIT", "( (", "foo")] == [None] * 5
+
+
+def test_tags_and_joined_notices():
+    def found(text):
+        scan = licenses.scan_text(text.encode())
+        return [(f.word, f.expression) for f in scan.findings]
+
+    assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n# and all rights reserved") == [(0, "(mit OR apache-2.0)"), (8, "reserved")]
+    assert found('{"License-Expression": "GPL-2.0-only WITH Classpath-exception-2.0"}') == [(0, "(gpl-2.0 WITH classpath-exception-2.0)")]
+    assert found("SPDX-License-Identifier: LicenseRef-Ours") == [(0, "licenseref-ours")]
+    assert found("a SPDX-License-Identifier: whatever this is") == [(1, "unknown")]
+    assert found("the license expression of a file and its SPDX license identifier") == []
+    assert found("under either the MIT License or the terms of the Apache License, Version 2.0; released") == [(3, "(mit OR apache-2.0)")]
+    assert found("the MIT License and some other thing or the Apache License") == [(1, "mit"), (9, "apache")]
+    assert found("GNU General Public License version 2 with the Classpath exception") == [(0, "(gpl-2.0 WITH classpath-exception-2.0)")]
+    assert found("CC BY-NC 4.0.") == [(0, "cc-by-nc-4.0")]
+
+
+def test_repeats_nulls_and_bytes(spark):
+    docs = documents(spark, ["cc by", "cc by", None], ids=[7, 7, None])
+    assert sorted((r.doc_id or 0, r.n_base, r.score) for r in licenses.scan(docs).collect()) == [(0, 0, 0.0), (7, 1, 0.2), (7, 1, 0.2)]
+    assert licenses.scan(docs.limit(0)).isEmpty()
+    wrong = docs.limit(1).withColumn("text", F.expr("cast(x'636320627920ff80e9206363' as string)"))
+    assert [(r.n_words, r.n_base) for r in licenses.scan(wrong).collect()] == [(4, 1)]
+    odd = docs.withColumns({"N_WORDS": F.lit(1), "a.b": F.lit(2), "Score": F.lit("x"), "Labels": F.lit("y")})
+    assert licenses.scan(odd).select("n_words", "score", "labels").count() == 3
