@@ -116,7 +116,7 @@ def test_tags_and_joined_notices():
         scan = licenses.scan_text(text.encode())
         return [(f.word, f.expression) for f in scan.findings]
 
-    assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n# and all rights reserved") == [(0, "(mit OR apache-2.0)"), (8, "reserved")]
+    assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n# and all rights reserved") == [(0, "(mit OR apache-2.0)"), (9, "reserved")]
     assert found('{"License-Expression": "GPL-2.0-only WITH Classpath-exception-2.0"}') == [(0, "(gpl-2.0 WITH classpath-exception-2.0)")]
     assert found("SPDX-License-Identifier: LicenseRef-Ours") == [(0, "licenseref-ours")]
     assert found("a SPDX-License-Identifier: whatever this is") == [(1, "unknown")]
