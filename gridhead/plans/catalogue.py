@@ -19,7 +19,7 @@ from gridhead.plans import fixtures
 from gridhead.plans.detection import best_headers, detect_headers, scored_rows
 from gridhead.sources.files import answer_directory, answers, file_gate, write_results
 from gridhead.sources.shared import shared_path
-from gridhead.streaming.landing import stream_detect
+from gridhead.streaming.landing import drain, stream_detect
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -344,5 +344,5 @@ def directory_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in a folder, answered by the stream in several batches, and the answers read again."""
     out, state = shared_path(spark, "streamed"), shared_path(spark, "stream-state")
-    stream_detect(spark, fixtures.landed_files(spark, sf_dir), out, state).awaitTermination()
+    drain(stream_detect(spark, fixtures.landed_files(spark, sf_dir), out, state, files_per_batch=2000))
     return _file(spark.read.parquet(out))
