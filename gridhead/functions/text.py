@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,10 +67,32 @@ def excel_column_name(number: Column) -> Column:
     return F.concat(third, second, letter((n - 1) % 26))
 
 
-@F.pandas_udf(T.StringType())
-def _double_text(values: pd.Series) -> pd.Series:
-    """The shortest text that reads as the same double; no built-in function writes it."""
-    return pd.Series([None if pd.isna(v) else repr(float(v)) for v in values], dtype=object)
+#: The JVM's own text of doubles is not always the shortest one; the JSON library that Spark brings writes that.
+_WRITER = "com.fasterxml.jackson.core.io.NumberOutput"
+
+
+def double_text(value: Column) -> Column:
+    """The shortest text that reads as the same double, with an exponent from 1e16 and below 1e-4 only."""
+    whole = F.reflect(F.lit(_WRITER), F.lit("toString"), value, F.lit(True))
+
+    def formed(t: Column) -> Column:
+        exponent = F.substring_index(t, "E", -1).cast("int")
+        written = F.regexp_replace(F.substring_index(t, "E", 1), r"^-|\.0$|\.", "")
+        # the writer puts two digits where one reads as the same, among the least doubles
+        one = F.round(F.try_to_number(F.substr(written, F.lit(1), F.lit(2)), F.lit("99")) / 10).cast("int")
+        reads = (F.abs(value) < 1e-321) & (F.length(written) == 2) & (F.concat(one.cast("string"), F.lit("E"), exponent.cast("string")).try_cast("double") == F.abs(value))
+        digits = F.when(reads & (one == 10), "1").when(reads, one.cast("string")).otherwise(written)
+        power = F.when(reads & (one == 10), exponent + 1).otherwise(exponent)
+        size = F.length(digits)
+        plain = F.when(size > power + 1, F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))).otherwise(F.concat(F.rpad(digits, power + 1, "0"), F.lit(".0")))
+        fraction = F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+        scientific = F.concat(F.substring(digits, 1, 1), fraction, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+        form = F.when(power.between(7, 15), plain).when(power == -4, F.concat(F.lit("0.000"), digits)).otherwise(scientific)
+        return F.when(~t.contains("E"), t).otherwise(F.concat(F.when(t.startswith("-"), "-").otherwise(""), form))
+
+    text = F.get(F.transform(F.array(whole), formed), F.lit(0))  # written once, read often
+    infinite = F.when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+    return F.when(F.isnan(value), "nan").when(infinite.isNotNull(), infinite).when(value.isNotNull(), text)
 
 
 def render_cell(value: Column, kind: T.DataType) -> Column:
@@ -83,5 +104,5 @@ def render_cell(value: Column, kind: T.DataType) -> Column:
         micros = F.date_format(value, "SSSSSS")
         return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
     if isinstance(kind, T.DoubleType | T.FloatType):
-        return F.when(F.isnan(value), "nan").otherwise(_double_text(value.cast("double")))
+        return double_text(value.cast("double"))
     return value.cast("string")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridhead.functions.text import is_blank, render_cell
+from gridhead.functions.text import WHITE_SPACE, is_blank, render_cell
 
 #: Rows that may be the header, rows below that speak for it, and rows of the preview.
 MAX_ROWS, LOOKAHEAD, PREVIEW = 30, 5, 5
@@ -18,20 +18,41 @@ def prefix(max_rows: int = MAX_ROWS, lookahead: int = LOOKAHEAD, preview: int =
     return max_rows + max(lookahead, preview)
 
 
-def grid_from_cells(cells: DataFrame) -> DataFrame:
+def leading_cells(cells: DataFrame, limit: int | None = None) -> DataFrame:
+    """The cells of the first `limit` non-blank rows of each sheet, in the partitioning by sheet.
+
+    The filter stands on the bare rank of the rows that have a non-blank cell, so each task passes on no more than the
+    limit's rows of any sheet, however tall. Cells that hold only white space, where there are any, are looked up in a join.
+    """
+    order = Window.partitionBy("sheet_id").orderBy("row_no")
+    full = cells.where(~is_blank(F.col("value"))).withColumn("_rank", F.dense_rank().over(order))
+    kept = full.where(F.col("_rank") <= (limit or prefix())).drop("_rank")
+    white = cells.where(F.col("value").isNotNull() & is_blank(F.col("value")))
+    return kept.unionByName(white.join(kept.select("sheet_id", "row_no").distinct(), ["sheet_id", "row_no"], "left_semi")).repartition("sheet_id")
+
+
+def grid_from_cells(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """One record per cell (`sheet_id, row_no, col_no, value`, perhaps `sheet_name`) to one per row, as wide as the sheet; gaps are null.
 
-    Of several cells at one place the greatest value counts. Widths are combined before they are shuffled, so a tall
-    sheet is no task of its own.
+    Of several cells at one place the greatest value counts; cells without a place (no column, or one before the first) are
+    left out. Widths are combined before they are shuffled, so a tall sheet is no task of its own. With a `limit`, only
+    that many non-blank rows of each sheet are made, and only their cells are shuffled. Work grows with the cells and the width.
     """
     name = F.col("sheet_name") if "sheet_name" in cells.columns else F.lit("Sheet")
-    named = cells.select("sheet_id", name.alias("sheet_name"), "row_no", "col_no", "value")
-    widths = named.groupBy("sheet_id").agg(F.max("col_no").alias("width"))
-    rows = named.groupBy("sheet_id", "sheet_name", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "value"))).alias("at"))
-    single = F.filter("at", lambda c, i: (i == F.size("at") - 1) | (F.get("at", i + 1)["col_no"] != c["col_no"]))
-    found = rows.withColumn("at", F.map_from_entries(single)).join(widths, "sheet_id")
-    filled = F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.try_element_at(F.col("at"), i))
-    return found.select("sheet_id", "sheet_name", "row_no", filled.alias("cells"))
+    named = cells.select("sheet_id", name.alias("sheet_name"), "row_no", "col_no", "value").where("col_no >= 0")
+    widths = named.groupBy("sheet_id").agg((F.max("col_no") + 1).alias("width"))
+    taken = named if limit is None else leading_cells(named, limit)
+    rows = taken.groupBy("sheet_id", "sheet_name", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "value"))).alias("all"))
+    last_of_place = F.filter("all", lambda c, i: (i == F.size("all") - 1) | (F.get("all", i + 1)["col_no"] != c["col_no"]))
+    found = rows.withColumn("at", last_of_place).join(widths, "sheet_id")
+    nothing = F.lit(None).cast("string")
+
+    def with_gap(c: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("at", i - 1)["col_no"], F.lit(-1))
+        return F.concat(F.array_repeat(nothing, (c["col_no"] - before - 1).cast("int")), F.array(c["value"]))
+
+    end = F.array_repeat(nothing, (F.col("width") - F.get("at", F.size("at") - 1)["col_no"] - 1).cast("int"))
+    return found.select("sheet_id", "sheet_name", "row_no", F.concat(F.flatten(F.transform("at", with_gap)), end).alias("cells"))
 
 
 def grid_from_columns(table: DataFrame, sheet_id: Column, row_no: Column, columns: Sequence[str] | None = None, sheet_name: Column | None = None) -> DataFrame:
@@ -41,10 +62,29 @@ def grid_from_columns(table: DataFrame, sheet_id: Column, row_no: Column, column
     return table.select(sheet_id.alias("sheet_id"), (F.lit("Sheet") if sheet_name is None else sheet_name).alias("sheet_name"), row_no.cast("int").alias("row_no"), cells.alias("cells"))
 
 
-def grid_from_text(texts: DataFrame, sheet_id: Column, text: Column, delimiter: str = ",", sheet_name: str = "Sheet") -> DataFrame:
-    """Delimited text without quoting: a row per line (empty lines kept), a cell per field; rows differ in length. `delimiter` is a regular expression."""
-    lines = texts.select(sheet_id.alias("sheet_id"), F.lit(sheet_name).alias("sheet_name"), F.posexplode(F.split(text, "\n", -1)).alias("row_no", "line"))
-    return lines.select("sheet_id", "sheet_name", "row_no", F.split("line", delimiter, -1).alias("cells"))
+def grid_from_text(texts: DataFrame, sheet_id: Column, text: Column, delimiter: str = ",", sheet_name: str = "Sheet", limit: int | None = None) -> DataFrame:
+    """Delimited text without quoting: a row per line (empty lines kept), a cell per field; rows differ in length. `delimiter` is a regular expression.
+
+    With a `limit`, a sheet has only its first `limit` non-blank lines (the first line, if all are blank), and usually no
+    more than the text's head is taken apart for them.
+    """
+    named = texts.select(sheet_id.alias("sheet_id"), F.lit(sheet_name).alias("sheet_name"), text.alias("_text"))
+    if limit is None:
+        lines = named.select("sheet_id", "sheet_name", F.posexplode(F.split("_text", "\n", -1)).alias("row_no", "line"))
+        return lines.select("sheet_id", "sheet_name", "row_no", F.split("line", delimiter, -1).alias("cells"))
+
+    def lines_of(part: Column) -> Column:
+        return F.transform(F.split(part, "\n", -1), lambda line, i: F.struct(i.cast("int").alias("row_no"), line.alias("line")))
+
+    def full(part: Column) -> Column:
+        return F.slice(F.filter(lines_of(part), lambda r: F.regexp_replace(r["line"], delimiter, "").rlike(f"[^{WHITE_SPACE}]")), 1, limit)
+
+    headed = named.withColumn("_head", F.substring_index("_text", "\n", 2 * limit)).withColumn("_some", full(F.col("_head")))
+    enough = (F.size("_some") == limit) | (F.octet_length("_head") == F.octet_length("_text"))
+    kept = headed.withColumn("_rows", F.when(enough, F.col("_some")).otherwise(full(F.col("_text"))))
+    first = F.slice(lines_of(F.col("_head")), 1, 1)
+    lines = kept.select("sheet_id", "sheet_name", F.explode(F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(first)).alias("r"))
+    return lines.select("sheet_id", "sheet_name", "r.row_no", F.split("r.line", delimiter, -1).alias("cells"))
 
 
 def is_empty_row() -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridhead.functions.text import DATE, LETTER, NUMBER, WHITE_SPACE, excel_column_name, has_alphabet, is_blank, is_date_like, is_number_like, is_very_long, normalize_cell, normalize_header_name
-from gridhead.operators.grid import grid_from_cells, grid_from_columns, kept_rows
+from gridhead.operators.grid import grid_from_cells, grid_from_columns, kept_rows, prefix
 from gridhead.operators.headers import best_header_rows, build_headers, header_rows, preview_long, preview_rows_by_join
 from gridhead.operators.scoring import enough_cells, row_profile, row_scores, rows_below, static_score
 from gridhead.plans import fixtures
@@ -172,7 +172,7 @@ def row_profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(_DOCS, _CELLS, _KEPT, _PROFILED, then=f"SELECT sheet_id, row_idx, CASE WHEN n_nonempty < 2 THEN 0 ELSE {_STATIC} END AS static_score FROM p WHERE row_idx < 35"))
 def static_score_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = row_profile(kept_rows(fixtures.doc_sheets(spark, sf_dir)))
+    rows = row_profile(kept_rows(fixtures.doc_sheets(spark, sf_dir, prefix())))
     return rows.select("sheet_id", "row_idx", enough_cells(static_score()).alias("static_score"))
 
 
@@ -199,7 +199,7 @@ def best_header_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(_DOCS, _UP_TO_BEST, then=f"SELECT {', '.join(_BEST)} FROM f"))
 def best_header_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_headers(fixtures.doc_sheets(spark, sf_dir)).select(*_BEST)
+    return best_headers(fixtures.doc_sheets(spark, sf_dir, prefix())).select(*_BEST)
 
 
 @_query(_with(_ORDERS, _UP_TO_BEST, _HEADERS, then=f"SELECT sheet_id, name, column_index, {_letters('column_index + 1')} AS excel_column_name FROM hd"))
@@ -225,7 +225,7 @@ def preview_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(_DOCS, _UP_TO_BEST, _HEADERS, _PREVIEW, then="SELECT sheet_id, preview_no, name, value FROM pv"))
 def preview_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview_long(scored_rows(fixtures.doc_sheets(spark, sf_dir)))
+    return preview_long(scored_rows(fixtures.doc_sheets(spark, sf_dir, prefix())))
 
 
 _GATE = """
@@ -250,7 +250,7 @@ def file_gate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = file_gate(fixtures.file_names(spark, sf_dir))
-    found = detect_headers(fixtures.doc_sheets(spark, sf_dir)).select(F.col("sheet_id").alias("doc_id"), F.col("success").alias("_success"), F.col("message").alias("_message"))
+    found = detect_headers(fixtures.doc_sheets(spark, sf_dir, prefix())).select(F.col("sheet_id").alias("doc_id"), F.col("success").alias("_success"), F.col("message").alias("_message"))
     joined = gated.join(found, "doc_id", "left")
     return joined.select("doc_id", F.coalesce("success", "_success").alias("success"), F.coalesce("message", "_message").alias("message"))
 
@@ -283,7 +283,7 @@ def detect_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(_ORDERS, _UP_TO_BEST, then=f"SELECT {', '.join(_BEST)} FROM f"))
 def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells in, header rows out."""
-    return best_headers(grid_from_cells(fixtures.order_cells(spark, sf_dir))).select(*_BEST)
+    return best_headers(grid_from_cells(fixtures.order_cells(spark, sf_dir), prefix())).select(*_BEST)
 
 
 @_query(

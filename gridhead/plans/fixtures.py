@@ -59,9 +59,9 @@ def ledger_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select("sheet_id", F.lit("Ledger").alias("sheet_name"), "r.row_no", "r.cells")
 
 
-def doc_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ragged sheet per document: its lines, cut at commas."""
-    return grid_from_text(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), ",", "Doc")
+def doc_sheets(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """One ragged sheet per document: its lines (the leading ones that `limit` asks for), cut at commas."""
+    return grid_from_text(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), ",", "Doc", limit)
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

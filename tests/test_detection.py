@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridhead.operators.grid import drop_blank_rows, grid_from_cells, grid_from_columns, kept_rows
+from gridhead.operators.grid import drop_blank_rows, grid_from_cells, grid_from_columns, grid_from_text, kept_rows
 from gridhead.operators.headers import best_header_rows, preview_long
 from gridhead.operators.scoring import row_scores
 from gridhead.plans import fixtures
@@ -121,6 +122,73 @@ def test_grid_from_cells_is_rectangular(spark):
     assert got == {("a", 0): ["x", None, "z"], ("a", 5): [None, "z", None], ("b", 1): ["q"]}
 
 
+def test_wide_rows_take_linear_time(spark):
+    """35 rows of 16,384 cells, with gaps."""
+    cells = spark.range(35 * 16_384).select(F.lit("w").alias("sheet_id"), (F.col("id") / 16_384).cast("int").alias("row_no"), (F.col("id") % 16_384).cast("int").alias("col_no"), F.col("id").cast("string").alias("value")).where("col_no % 3 <> 1")
+    grid_from_cells(cells.where("row_no = 0")).collect()
+    began = time.time()
+    rows = grid_from_cells(cells).where(F.size("cells") == 16_384).select("row_no", "cells").collect()
+    assert time.time() - began < 8  # a map look-up for every place took over 40 s
+    assert len(rows) == 35 and all(r.cells[c] == (None if c % 3 == 1 else str(r.row_no * 16_384 + c)) for r in rows for c in range(0, 16_384, 97))
+
+
+def shuffled_rows(df):
+    """Rows that all shuffles of the plan wrote."""
+    df.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "ReusedExchangeExec":
+            return 0
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        children = node.children()
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_tall_sheet_of_cells_moves_its_leading_rows_only(spark):
+    cells = spark.range(0, 1_000_000, 1, 8).select(F.lit("tall").alias("sheet_id"), F.pmod(F.col("id") * 7919, F.lit(250_000)).cast("int").alias("row_no"), (F.col("id") / 250_000).cast("int").alias("col_no"), F.when(F.col("id") % 1000 == 1, " ").otherwise(F.concat(F.lit("v"), F.col("id").cast("string"))).alias("value"))
+    limited = best_headers(grid_from_cells(cells, 35))
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert any("WindowGroupLimit" in x and "dense_rank" in x and "Partial" in x for x in plan.split("\n")), plan
+    assert shuffled_rows(limited) < 15_000  # 8 tasks pass on 35 rows of 4 cells each, and the cells of white space once
+    assert shuffled_rows(grid_from_cells(cells)) > 250_000
+
+
+def test_limited_cells_give_the_same_headers(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["Name", "Qty", "3", "1/2/24", " ", "\t", "", None, "4.5"])
+    sheets = {f"s{i}": ([[word() if rng.random() < 0.5 else None for _ in range(5)] for _ in range(rng.randrange(1, 90))],) for i in range(40)}
+    cells = grid(spark, sheets).select("sheet_id", "sheet_name", "row_no", F.posexplode("cells").alias("col_no", "value"))
+    for given in (cells, cells.where("value IS NOT NULL")):
+        whole = {r.sheet_id: r for r in detect_headers(grid_from_cells(given)).collect()}
+        some = {r.sheet_id: r for r in detect_headers(grid_from_cells(given, 35)).collect()}
+        assert {k: v for k, v in whole.items() if v.message != EMPTY} == some
+
+
+def test_leading_lines_of_texts(spark):
+    rng = random.Random(13)
+    texts = ["", " ", "\n\n", None, "a,b\n1,2", *("\n".join(rng.choice(["", " , ,", "a,b", "x", ",,", "\u3000"]) for _ in range(rng.randrange(200))) for _ in range(60)), "\n" * 500 + "a,b\n" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    whole = detect_headers(grid_from_text(df, F.col("i"), F.col("t")))
+    some = detect_headers(grid_from_text(df, F.col("i"), F.col("t"), limit=35))
+    assert sorted(whole.collect(), key=lambda r: r.sheet_id) == sorted(some.collect(), key=lambda r: r.sheet_id) and some.count() == len(texts) - 1
+
+
+def test_a_long_text_is_not_taken_apart(spark):
+    """Of a million lines 35 are made rows; what is left of the text costs no more than its bytes."""
+    df = spark.createDataFrame([(1, "a,b\n" * 1_000_000)], "i int, t string")
+    rows = grid_from_text(df, F.col("i"), F.col("t"), limit=35)
+    assert rows.count() == 35
+    began = time.time()
+    assert rows.where("row_no = 34").count() == 1 and time.time() - began < 3
+
+
 def test_cells_in_headers_out(spark):
     cells = grid(spark).select("sheet_id", "sheet_name", "row_no", F.posexplode("cells").alias("col_no", "value")).where("value IS NOT NULL")
     got = {r.sheet_id: r for r in detect_headers(grid_from_cells(cells)).collect()}

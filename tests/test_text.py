@@ -1,5 +1,8 @@
 import datetime as dt
+import random
+import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,3 +78,18 @@ def test_column_letters(spark):
 def test_render(spark, kind, value, text):
     df = spark.createDataFrame([(value,)], T.StructType([T.StructField("v", kind)]))
     assert df.select(X.render_cell(F.col("v"), kind)).first()[0] == text
+
+
+def test_double_text_is_what_python_writes(spark):
+    rng = random.Random(1)
+    bits = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(400_000)]
+    scaled = [rng.random() * 10 ** rng.randrange(-8, 20) for _ in range(400_000)]
+    plain = [round(rng.random() * 10**6, rng.randrange(6)) for _ in range(200_000)]
+    edges = [s * 10.0**e * m for s in (1, -1) for e in range(-324, 309) for m in (1, 1.5, 1 / 3)]
+    odd = [*(k * 5e-324 for k in range(-300, 300)), 2.2250738585072014e-308, 1.7976931348623157e308, 8.41e21, 2e-3, 9007199254740993.0, 0.0, -0.0, float("inf"), float("-inf"), float("nan"), None]
+    items = [v for v in (*bits, *scaled, *plain, *edges) if v == v] + odd
+    df = spark.createDataFrame(pa.table({"v": pa.array(items, pa.float64(), from_pandas=False)}))
+    texts = df.select("v", X.render_cell(F.col("v"), T.DoubleType()).alias("t"))
+    assert "Python" not in texts._jdf.queryExecution().executedPlan().toString()
+    got = texts.toArrow().to_pydict()
+    assert [(v, t) for v, t in zip(got["v"], got["t"], strict=True) if t != (None if v is None else repr(v))] == []
