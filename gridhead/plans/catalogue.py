@@ -17,8 +17,9 @@ from gridhead.operators.headers import best_header_rows, build_headers, header_r
 from gridhead.operators.scoring import enough_cells, row_profile, row_scores, rows_below, static_score
 from gridhead.plans import fixtures
 from gridhead.plans.detection import best_headers, detect_headers, scored_rows
-from gridhead.sources.files import answer_directory, answers, file_gate, write_results
+from gridhead.sources.files import answer_directory, answered, answers, file_gate, write_results
 from gridhead.sources.shared import shared_path
+from gridhead.sources.workbooks import register
 from gridhead.streaming.landing import drain, stream_detect
 
 QUERIES: dict = {}
@@ -262,22 +263,20 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         _HEADERS,
         _PREVIEW,
         f"""
-    ht AS (SELECT sheet_id, string_agg(name || ':' || column_index || ':' || {_letters("column_index + 1")}, '|' ORDER BY column_index) AS headers FROM hd GROUP BY 1),
-    fp AS (SELECT sheet_id, name, min(column_index) AS place FROM hd GROUP BY 1, 2),
-    rt AS (SELECT sheet_id, preview_no, string_agg(name || '=' || coalesce(value, '~'), '|' ORDER BY place) AS line FROM pv JOIN fp USING (sheet_id, name) GROUP BY 1, 2),
-    vt AS (SELECT sheet_id, string_agg(line, ';' ORDER BY preview_no) AS preview FROM rt GROUP BY 1)""",
+    e AS (SELECT sheet_id, 0 AS preview_no, column_index, name, {_letters("column_index + 1")} AS value FROM hd UNION ALL SELECT sheet_id, preview_no, NULL, name, value FROM pv)""",
         then="""SELECT f.sheet_id, f.header_row_index IS NOT NULL AS success, CASE WHEN f.header_row_index IS NULL THEN 'Could not detect header row' ELSE 'Headers detected successfully' END AS message,
-        CASE WHEN f.header_row_index IS NOT NULL THEN 'Order' END AS sheet_name, header_row_index, header_row_number, confidence_score, sheet_row_no, headers, CASE WHEN f.header_row_index IS NOT NULL THEN coalesce(preview, '') END AS preview
-        FROM f LEFT JOIN ht USING (sheet_id) LEFT JOIN vt USING (sheet_id)""",
+        CASE WHEN f.header_row_index IS NOT NULL THEN 'Order' END AS sheet_name, header_row_index, header_row_number, confidence_score, sheet_row_no, preview_no, column_index, name, value
+        FROM f LEFT JOIN e USING (sheet_id)""",
     )
 )
 def detect_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`detect_headers` of every order sheet, its nested result told as text."""
-    headers = F.transform("data.headers", lambda h: F.concat_ws(":", h["name"], h["column_index"].cast("string"), h["excel_column_name"]))
-    rows = F.transform("data.preview_rows", lambda r: F.array_join(F.transform(F.map_entries(r), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))), "|"))
+    """`detect_headers` of every order sheet, its nested result taken apart: a row for each header (`preview_no` 0) and each preview cell."""
+    headers = F.transform("data.headers", lambda h: F.struct(F.lit(0).alias("preview_no"), h["column_index"].alias("column_index"), h["name"].alias("name"), h["excel_column_name"].alias("value")))
+    cells = F.transform("data.preview_rows", lambda r, i: F.transform(F.map_entries(r), lambda e: F.struct((i + 1).cast("int").alias("preview_no"), F.lit(None).cast("int").alias("column_index"), e["key"].alias("name"), e["value"].alias("value"))))
     plain = ("sheet_name", "header_row_index", "header_row_number", "confidence_score", "sheet_row_no")
     found = detect_headers(fixtures.order_sheets(spark, sf_dir))
-    return found.select("sheet_id", "success", "message", *(f"data.{c}" for c in plain), F.array_join(headers, "|").alias("headers"), F.array_join(rows, ";").alias("preview"))
+    told = found.select("sheet_id", "success", "message", *(f"data.{c}" for c in plain), F.explode_outer(F.concat(headers, F.flatten(cells))).alias("e"))
+    return told.select("sheet_id", "success", "message", *plain, "e.preview_no", "e.column_index", "e.name", "e.value")
 
 
 @_query(_with(_ORDERS, _UP_TO_BEST, then=f"SELECT {', '.join(_BEST)} FROM f"))
@@ -346,3 +345,30 @@ def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = shared_path(spark, "streamed"), shared_path(spark, "stream-state")
     drain(stream_detect(spark, fixtures.landed_files(spark, sf_dir), out, state, files_per_batch=2000))
     return _file(spark.read.parquet(out))
+
+
+_FAULTS = {1: "File is not a zip file", 2: "File is not a zip file", 3: f"Excel file is over its budget of {fixtures.FAULTS_BUDGET.inflated_bytes} (inflated_bytes)", 4: f"Excel file is over its budget of {fixtures.FAULTS_BUDGET.depth} (depth)", 7: "Only .xlsx and .xlsm files are supported right now"}
+
+
+@_query(
+    _with(
+        _CUSTOMERS,
+        _UP_TO_BEST,
+        f"""
+    m AS (SELECT *, CASE sheet_id % 8 {" ".join(f"WHEN {k} THEN '{m}'" for k, m in _FAULTS.items())} END AS fault FROM f)""",
+        then="""SELECT sheet_id || CASE WHEN sheet_id % 8 = 7 THEN '.txt' ELSE '.xlsx' END AS path, fault IS NULL AS success, coalesce(fault, 'Headers detected successfully') AS message,
+        CASE WHEN fault IS NULL THEN header_row_index END AS header_row_index, CASE WHEN fault IS NULL THEN confidence_score END AS confidence_score FROM m""",
+    )
+)
+def workbook_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of good and bad files: empty ones, cut off ones, ones that are over their budget, refused ones; each is answered alone."""
+    found = answer_directory(spark, fixtures.faulty_files(spark, sf_dir), budget=fixtures.FAULTS_BUDGET)
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "success", "message", "data.header_row_index", "data.confidence_score")
+
+
+@_query(_LANDED)
+def source_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in a folder, read by the data source of workbooks as rows, and answered."""
+    register(spark)
+    rows = spark.read.format("workbooks").option("taskBytes", 64 << 20).load(fixtures.landed_files(spark, sf_dir))
+    return _file(answered(rows))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridhead.operators.grid import grid_from_text
 from gridhead.sources.shared import shared_path
+from gridhead.sources.store import filesystem
+from gridhead.sources.workbook import Budget
 
 ORDER_HEADER = (" Line  No ", "Part Key", "Supp Key", "Qty", "Unit  Price", "Ship Date", "Flag")
 LEDGER_HEADER = ("Cust Key", "Name", "Name", "Balance", "Segment")
@@ -150,19 +151,72 @@ def customer_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(write, "path string, content binary")
 
 
-def landed_files(spark: SparkSession, sf_dir: str) -> str:
-    """A new folder with a file per customer with orders: its workbook, under a name that is refused for each seventh."""
+def _saved(spark: SparkSession, sf_dir: str, named: Callable[[int, bytes], tuple[str, bytes]]) -> str:
+    """A new folder with a file for every customer workbook, under the name and with the content that `named` makes of key and content."""
     folder = shared_path(spark, "landing")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = path.removeprefix("customers/").removesuffix(".xlsx")
-                with fs.open_output_stream(f"{root}/{key}{'.csv' if int(key) % 7 == 0 else '.xlsx'}", compression=None) as out:
+                name, content = named(int(path.removeprefix("customers/").removesuffix(".xlsx")), content)
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                     out.write(content)
             yield pa.RecordBatch.from_pydict({"n": [len(b)]})
 
     customer_workbooks(spark, sf_dir).mapInArrow(save, "n long").agg(F.sum("n")).collect()
     return folder
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with a file per customer with orders: its workbook, under a name that is refused for each seventh."""
+    return _saved(spark, sf_dir, lambda key, content: (f"{key}{'.csv' if key % 7 == 0 else '.xlsx'}", content))
+
+
+#: The budget of the faulty files: less than what some of them unpack to.
+FAULTS_BUDGET = Budget(inflated_bytes=1 << 20, depth=20)
+_BLANKS, _NESTED = 2 << 20, 40
+
+
+def _changed(content: bytes, change: Callable[[str, bytes], tuple[str, bytes]], first: bytes = b"") -> bytes:
+    """The workbook with every part renamed and rewritten, behind a part that no one reads."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        if first:
+            new.writestr("media/unread.bin", first, zipfile.ZIP_STORED)
+        for name in old.namelist():
+            new.writestr(*change(name, old.read(name)))
+    return out.getvalue()
+
+
+def _faulty(key: int, content: bytes) -> tuple[str, bytes]:
+    def inside(name: str, part: bytes, text: bytes) -> tuple[str, bytes]:
+        return name, part.replace(b"<sheetData>", text + b"<sheetData>") if name.startswith("xl/worksheets") else part
+
+    def moved(name: str, part: bytes) -> tuple[str, bytes]:
+        return name.replace("xl/_rels/workbook", "book/_rels/main").replace("xl/workbook", "book/main").replace("xl/", "book/"), part
+
+    kind = key % 8
+    if kind == 1:
+        content = b""
+    elif kind == 2:
+        content = content[: len(content) // 2]
+    elif kind == 3:
+        content = _changed(content, lambda n, p: inside(n, p, b" " * _BLANKS))
+    elif kind == 4:
+        content = _changed(content, lambda n, p: inside(n, p, b"<a>" * _NESTED))
+    elif kind == 5:
+        content = _changed(content, lambda n, p: (n, p), bytes(100_000))
+    elif kind == 6:
+        out = io.BytesIO(_changed(content, moved))
+        with zipfile.ZipFile(out, "a") as z:
+            z.writestr("_rels/.rels", f'<Relationships><Relationship Id="a" Type="{_Workbook._OFFICE}/officeDocument" Target="book/main.xml"/></Relationships>')
+        content = out.getvalue()
+    return f"{key}{'.txt' if kind == 7 else '.xlsx'}", content
+
+
+def faulty_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with a file per customer with orders, by the eighth: as it is, empty, cut off, unpacking to far more than it
+    is long, nested, with a long part that no one reads, with its main part elsewhere, and refused."""
+    return _saved(spark, sf_dir, _faulty)

@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_nested_result_agrees_with_flat_one(spark):
-    nested = QUERIES["detect_result"](spark, SF).select("sheet_id", "header_row_index", "confidence_score", "sheet_row_no")
+    nested = QUERIES["detect_result"](spark, SF).select("sheet_id", "header_row_index", "confidence_score", "sheet_row_no").distinct()
     flat = QUERIES["best_header_orders"](spark, SF).select("sheet_id", "header_row_index", "confidence_score", "sheet_row_no")
     assert nested.exceptAll(flat).isEmpty() and flat.exceptAll(nested).isEmpty()
 
