@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,23 +37,28 @@ def grid_from_cells(cells: DataFrame, limit: int | None = None) -> DataFrame:
 
     Of several cells at one place the greatest value counts; cells without a place (no column, or one before the first) are
     left out. Widths are combined before they are shuffled, so a tall sheet is no task of its own. With a `limit`, only
-    that many non-blank rows of each sheet are made, and only their cells are shuffled. Work grows with the cells and the width.
+    that many non-blank rows of each sheet are made, as wide as the widest of them, and only their cells are shuffled. Work
+    grows with the cells and the width.
     """
     name = F.col("sheet_name") if "sheet_name" in cells.columns else F.lit("Sheet")
     named = cells.select("sheet_id", name.alias("sheet_name"), "row_no", "col_no", "value").where("col_no >= 0")
-    widths = named.groupBy("sheet_id").agg((F.max("col_no") + 1).alias("width"))
     taken = named if limit is None else leading_cells(named, limit)
     rows = taken.groupBy("sheet_id", "sheet_name", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "value"))).alias("all"))
     last_of_place = F.filter("all", lambda c, i: (i == F.size("all") - 1) | (F.get("all", i + 1)["col_no"] != c["col_no"]))
-    found = rows.withColumn("at", last_of_place).join(widths, "sheet_id")
+    found = rows.withColumn("at", last_of_place).withColumn("end", F.get("at", F.size("at") - 1)["col_no"] + 1).drop("all")
+    if limit is None:
+        found = found.join(named.groupBy("sheet_id").agg((F.max("col_no") + 1).alias("width")), "sheet_id")
+    else:
+        found = found.withColumn("width", F.max("end").over(Window.partitionBy("sheet_id")))
     nothing = F.lit(None).cast("string")
 
     def with_gap(c: Column, i: Column) -> Column:
         before = F.coalesce(F.get("at", i - 1)["col_no"], F.lit(-1))
         return F.concat(F.array_repeat(nothing, (c["col_no"] - before - 1).cast("int")), F.array(c["value"]))
 
-    end = F.array_repeat(nothing, (F.col("width") - F.get("at", F.size("at") - 1)["col_no"] - 1).cast("int"))
-    return found.select("sheet_id", "sheet_name", "row_no", F.concat(F.flatten(F.transform("at", with_gap)), end).alias("cells"))
+    full = F.transform("at", lambda c: c["value"])
+    filled = F.concat(F.when(F.size("at") == F.col("end"), full).otherwise(F.flatten(F.transform("at", with_gap))), F.array_repeat(nothing, (F.col("width") - F.col("end")).cast("int")))
+    return found.select("sheet_id", "sheet_name", "row_no", filled.alias("cells"))
 
 
 def grid_from_columns(table: DataFrame, sheet_id: Column, row_no: Column, columns: Sequence[str] | None = None, sheet_name: Column | None = None) -> DataFrame:
@@ -65,26 +71,32 @@ def grid_from_columns(table: DataFrame, sheet_id: Column, row_no: Column, column
 def grid_from_text(texts: DataFrame, sheet_id: Column, text: Column, delimiter: str = ",", sheet_name: str = "Sheet", limit: int | None = None) -> DataFrame:
     """Delimited text without quoting: a row per line (empty lines kept), a cell per field; rows differ in length. `delimiter` is a regular expression.
 
-    With a `limit`, a sheet has only its first `limit` non-blank lines (the first line, if all are blank), and usually no
-    more than the text's head is taken apart for them.
+    With a `limit`, a sheet of more lines than twice that has only its first `limit` non-blank lines (the first line, if all
+    are blank), and usually no more than the text's head is taken apart for them.
     """
     named = texts.select(sheet_id.alias("sheet_id"), F.lit(sheet_name).alias("sheet_name"), text.alias("_text"))
     if limit is None:
         lines = named.select("sheet_id", "sheet_name", F.posexplode(F.split("_text", "\n", -1)).alias("row_no", "line"))
         return lines.select("sheet_id", "sheet_name", "row_no", F.split("line", delimiter, -1).alias("cells"))
 
+    def non_blank(line: Column) -> Column:
+        if re.fullmatch(r"[,;:|\t]", delimiter):
+            return line.rlike(f"[^{WHITE_SPACE}{delimiter}]")
+        return F.regexp_replace(line, delimiter, "").rlike(f"[^{WHITE_SPACE}]")
+
     def lines_of(part: Column) -> Column:
         return F.transform(F.split(part, "\n", -1), lambda line, i: F.struct(i.cast("int").alias("row_no"), line.alias("line")))
 
-    def full(part: Column) -> Column:
-        return F.slice(F.filter(lines_of(part), lambda r: F.regexp_replace(r["line"], delimiter, "").rlike(f"[^{WHITE_SPACE}]")), 1, limit)
+    def leading(part: Column) -> Column:
+        return F.slice(F.filter(lines_of(part), lambda r: non_blank(r["line"])), 1, limit)
 
-    headed = named.withColumn("_head", F.substring_index("_text", "\n", 2 * limit)).withColumn("_some", full(F.col("_head")))
-    enough = (F.size("_some") == limit) | (F.octet_length("_head") == F.octet_length("_text"))
-    kept = headed.withColumn("_rows", F.when(enough, F.col("_some")).otherwise(full(F.col("_text"))))
-    first = F.slice(lines_of(F.col("_head")), 1, 1)
-    lines = kept.select("sheet_id", "sheet_name", F.explode(F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(first)).alias("r"))
-    return lines.select("sheet_id", "sheet_name", "r.row_no", F.split("r.line", delimiter, -1).alias("cells"))
+    # a text of few lines is its own head
+    headed = named.withColumn("_head", F.substring_index("_text", "\n", 2 * limit))
+    long = F.octet_length("_head") < F.octet_length("_text")
+    some = headed.withColumn("_rows", F.when(long, leading(F.col("_head"))).otherwise(lines_of(F.col("_text"))))
+    whole = some.withColumn("_rows", F.when(long & (F.size("_rows") < limit), leading(F.col("_text"))).otherwise(F.col("_rows")))
+    lines = whole.select("sheet_id", "sheet_name", F.inline(F.when(F.size("_rows") == 0, F.slice(lines_of(F.col("_head")), 1, 1)).otherwise(F.col("_rows"))))
+    return lines.select("sheet_id", "sheet_name", "row_no", F.split("line", delimiter, -1).alias("cells"))
 
 
 def is_empty_row() -> Column:

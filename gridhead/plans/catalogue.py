@@ -282,7 +282,13 @@ def detect_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(_ORDERS, _UP_TO_BEST, then=f"SELECT {', '.join(_BEST)} FROM f"))
 def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells in, header rows out."""
-    return best_headers(grid_from_cells(fixtures.order_cells(spark, sf_dir), prefix())).select(*_BEST)
+    return best_headers(grid_from_cells(fixtures.order_cells(spark, sf_dir))).select(*_BEST)
+
+
+@_query(_with(_LEDGER, _UP_TO_BEST, _HEADERS, _PREVIEW, then="SELECT sheet_id, preview_no, name, value FROM pv"))
+def preview_cells_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of tall sheets in, previews out; of each sheet only the leading rows' cells are shuffled."""
+    return preview_long(scored_rows(grid_from_cells(fixtures.ledger_cells(spark, sf_dir), prefix())))
 
 
 @_query(

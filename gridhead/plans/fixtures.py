@@ -71,6 +71,11 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where("value IS NOT NULL")
 
 
+def ledger_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ledger_sheets` as one record per cell."""
+    return ledger_sheets(spark, sf_dir).select("sheet_id", "sheet_name", "row_no", F.posexplode("cells").alias("col_no", "value"))
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names for documents, accepted and refused ones."""
     number, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 6
