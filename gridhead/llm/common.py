@@ -43,6 +43,22 @@ def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def valid(text: str | Column) -> Column:
+    """A text as it is; bytes that are no valid UTF-8 become U+FFFD, so that whatever reads the text can."""
+    return F.make_valid_utf8(text)
+
+
+def quoted(*names: str) -> list[str]:
+    """Column names as references, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of `df` that are not called so, in whatever case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """`name`, lengthened until no column is called so."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import blocks, shingles, words, written
+from gridhead.llm.common import blocks, shingles, valid, words, written
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -122,7 +122,7 @@ def item_words(benchmark: DataFrame, size: int = MIN_MATCH) -> DataFrame:
                 each = np.split(word, np.searchsorted(doc, np.arange(1, part.stop - part.start)))
                 yield pa.RecordBatch.from_pydict({"item_id": b.column(0).slice(part.start, part.stop - part.start), "n": pa.array([len(e) for e in each], pa.int32()), "words": pa.array([e.tobytes() for e in each], pa.binary())})
 
-    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), valid("text").alias("text"))
     found = rows.mapInArrow(cut, "item_id long, n int, words binary").where(F.col("n") >= size)
     return written(found.withColumn("item_no", F.monotonically_increasing_id()), "bench-words")
 
@@ -219,16 +219,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = MIN_MATCH, c
 
     Null and empty texts hold nothing; very long ones are searched whole; items with fewer than `size` words are in no
     document; rows of `docs` that share an id (or have none) are each judged alone. Equal items are all reported.
-    Further columns are ignored.
+    Bytes that are no valid UTF-8 are read as U+FFFD. Further columns are ignored. Without documents or items the result is empty.
     """
     items = item_words(benchmark, size)
     seeds = item_seeds(items, size, coverage)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), valid("text").alias("text"))
     few = (items.agg(F.sum("n")).first()[0] or 0) <= broadcast_words
     return (_by_broadcast if few else _by_join)(rows, items, seeds, size, coverage)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose id has no item; rows without an id stay."""
+    """The rows of `docs`, all columns, whose id has no item; rows without an id stay, and an empty table stays empty."""
     found = written(contaminated(docs, benchmark).select("doc_id").distinct(), "bench-found")
     return docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti")

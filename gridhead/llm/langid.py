@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import blocks, code_points, hash_bar, hash_rank, unused
+from gridhead.llm.common import blocks, code_points, hash_bar, hash_rank, others, quoted, unused, valid
 from gridhead.llm.quality import held_out
 
 #: Labelled rows that the regression is fitted on, and those of them that serve as landmarks, about.
@@ -99,7 +99,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS) -
 
     Each different lang is a class with weights of its own: a few hundred at most.
     """
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").withColumn("text", valid("text"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return None
@@ -142,7 +142,7 @@ def solved(k: np.ndarray, own: np.ndarray, y: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score` (0 to 1) from the whole text alone; `und` and 0 for null texts and texts without a letter.
 
-    Columns of these names in `docs` are replaced. A very long text is read whole, in a block of its own.
+    Columns of these names (in whatever case) are replaced; bytes that are no valid UTF-8 are read as U+FFFD. A very long text is read whole, in a block of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -160,8 +160,8 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     name = unused("guess", docs)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn(name, guess(F.col(text))).select(*kept, f"{name}.lang_pred", f"{name}.score")
+    kept = quoted(*others(docs, "lang_pred", "score"))
+    return docs.withColumn(name, guess(valid(text))).select(*kept, f"{name}.lang_pred", f"{name}.score")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS) -> DataFrame:

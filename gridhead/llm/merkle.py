@@ -39,8 +39,8 @@ def leaf_hash(columns: Sequence[Column]) -> Column:
 
 
 def tree_key(source: Column) -> Column:
-    """A text that is never null and sorts as the source does, null first, by bytes."""
-    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source.cast("string")))
+    """Bytes that are never null and sort as the source does, null first."""
+    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source.cast("string"))).cast("binary")
 
 
 def placed(rows: DataFrame, order: Sequence[str], label: str) -> DataFrame:
@@ -107,17 +107,17 @@ def missing(places: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
         have, size, level = parents, -(-size // ARITY), level + 1
 
 
-_WANTED = "piece bigint, block bigint, forest int, tree string, level int, place bigint"
+_WANTED = "piece bigint, block bigint, forest int, tree binary, level int, place bigint"
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks (piece, block, parts, n_trees) to the coordinates of the nodes that they lack."""
-    kinds = {"piece": pa.int64(), "block": pa.int64(), "forest": pa.int32(), "tree": pa.string(), "level": pa.int32(), "place": pa.int64()}
+    kinds = {"piece": pa.int64(), "block": pa.int64(), "forest": pa.int32(), "tree": pa.binary(), "level": pa.int32(), "place": pa.int64()}
     for batch in batches:
         rows: list[tuple] = []
         for piece, block, parts, n_trees in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             asked = [(0, p["tree"], np.array(p["places"], np.int64), p["size"]) for p in parts]
-            asked.append((1, "", np.array([p["top"] for p in parts], np.int64), n_trees))
+            asked.append((1, b"", np.array([p["top"] for p in parts], np.int64), n_trees))
             for forest, tree, places, size in asked:
                 rows += [(piece, block, forest, tree, level, p) for level, lack in missing(places, size) for p in lack.tolist()]
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -176,7 +176,7 @@ class _Tree:
 
 def _expanded(leaves: pa.Table, known: pa.Table) -> pa.Table:
     """The proofs of a block's leaves, from them and what was fetched for the block."""
-    fetched: dict[tuple[int, str], dict[int, dict[int, str]]] = {}
+    fetched: dict[tuple[int, bytes], dict[int, dict[int, str]]] = {}
     tops, n_trees = {}, 1
     for forest, tree, level, place, node, size in zip(*(known.column(c).to_pylist() for c in ("forest", "tree", "level", "place", "hash", "size")), strict=True):
         if level < 0:
@@ -184,11 +184,11 @@ def _expanded(leaves: pa.Table, known: pa.Table) -> pa.Table:
         else:
             fetched.setdefault((forest, tree), {}).setdefault(level, {})[place] = node
     rows = list(zip(*(leaves.column(c).to_pylist() for c in ("tree", "place", "size", "leaf", "claim")), strict=True))
-    own: dict[tuple[str, int], dict[int, str]] = {}
+    own: dict[tuple[bytes, int], dict[int, str]] = {}
     for tree, place, size, leaf, _ in rows:
         own.setdefault((tree, size), {})[place] = leaf
     trees = {tree: _Tree(nodes, size, fetched.get((0, tree), {})) for (tree, size), nodes in own.items()}
-    top = _Tree({tops[tree]: t.root for tree, t in trees.items()}, n_trees, fetched.get((1, ""), {}))
+    top = _Tree({tops[tree]: t.root for tree, t in trees.items()}, n_trees, fetched.get((1, b""), {}))
     proofs, folded = [], []
     for tree, place, _, leaf, claim in rows:
         proofs.append(trees[tree].proof(place) + top.proof(tops[tree]))
@@ -221,7 +221,7 @@ def prove(docs: DataFrame, claimed: Column | None = None) -> DataFrame:
     )
     leaves = placed(written(rows, "merkle-rows"), ["doc_id", "leaf"], "merkle-leaves")
     nodes, subroots = built(leaves.select("tree", "place", "size", F.col("leaf").alias("hash")), "merkle-nodes")
-    sources = written(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("hash")), "merkle-sources")
+    sources = written(subroots.select(F.lit("").cast("binary").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("hash")), "merkle-sources")
     ranks = placed(sources, ["of"], "merkle-subroots")
     top_nodes, top = built(ranks.select("tree", "place", "size", "hash"), "merkle-top")
     found = top.first()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import blocks, mix, release_memory, shingles, words, written
+from gridhead.llm.common import blocks, mix, quoted, release_memory, shingles, valid, words, written
 from gridhead.llm.graph import components
 
 SHINGLE = 5
@@ -129,7 +129,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band.ravel()))
         return {"k1": keys[0].astype(np.int64), "k2": keys[1].astype(np.int64), "n": n.astype(np.int32), "bands": lists}
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), valid("text").alias("text"))
     return rows.mapInArrow(lambda batches: _per_text(batches, sketched), "doc_id long, k1 long, k2 long, n int, bands array<long>")
 
 
@@ -147,7 +147,7 @@ def _cell_sets(asked: DataFrame, docs: DataFrame) -> DataFrame:
                 found = pa.RecordBatch.from_pydict({"node": b.column(0).slice(cut.start, cut.stop - cut.start), "cells": pa.array([e.tobytes() for e in each], pa.binary())})
                 yield found.filter(pa.array(same))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(asked, "rep").select("node", "text", "k1", "k2")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), valid("text").alias("text")).join(asked, "rep").select("node", "text", "k1", "k2")
     return written(rows.mapInArrow(listed, "node long, cells binary").dropDuplicates(["node"]), "dup-cells")
 
 
@@ -366,7 +366,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Null and empty texts and texts without words are classes of their own; a null id has a null class.
     Rows that share an id are one document, which is in the class of any of its texts (the least, if they differ).
-    A very long text is compared whole, like any other. Further columns are ignored. An empty table gives an empty result.
+    A very long text is compared whole, like any other; bytes that are no valid UTF-8 count as U+FFFD. Further columns are ignored. An empty table gives an empty result.
     """
     every = written(sketches(docs), "dup-sketches")
     distinct = every.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -395,13 +395,14 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, of which the class is their own id: one of each class. Rows with a null id stay.
 
-    Of rows that share such an id, the one with the least text stays.
+    Of rows that share such an id, the one with the least text stays. An empty table stays empty.
     """
     found = written(classes(docs).where("doc_id IS NOT NULL"), "dup-found")
     dropped = found.where("class_id <> doc_id").select("doc_id").distinct()
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    columns = quoted(*docs.columns)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(columns)
     if not repeated:
         return kept
-    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text"), F.xxhash64(*docs.columns))).alias("row")
+    first = F.min_by(F.struct(*columns), F.struct(F.col("text"), F.xxhash64(*columns))).alias("row")
     return kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first).select("row.*").unionByName(kept.where("doc_id IS NULL"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridhead.llm.common import blocks
+from gridhead.llm.common import blocks, others, quoted, valid
 
 #: Fixed value: what the model writes for a blank.
 BLANK = "▁"
@@ -297,25 +297,29 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     A null or empty text has no pieces; a very long one is encoded whole. A U+2581 in a text is decoded as a blank, as the
     model cannot tell them apart; `round_trip` compares with that in mind. Equal texts have equal pieces; other columns
-    stay as they are, but for columns of the three names, which are replaced.
+    stay as they are, but for columns of the three names (in whatever case), which are replaced. Ids are of no account: they
+    may repeat or be null. Bytes that are no valid UTF-8 are read as U+FFFD. An empty table gives an empty result.
     """
     made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
-    others = [c for c in docs.columns if c != text and c not in {f.name for f in made}]
+    rest = others(docs, text, *(f.name for f in made))
+    names = [f"c{i}" for i in range(len(rest))]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for b in batches:
-            for cut in blocks(pc.fill_null(pc.utf8_length(b.column(len(others))), 0).to_pylist(), CHARS):
+            for cut in blocks(pc.fill_null(pc.utf8_length(b.column(len(rest))), 0).to_pylist(), CHARS):
                 part = b.slice(cut.start, cut.stop - cut.start)
-                texts = [t or "" for t in part.column(len(others)).to_pylist()]
+                texts = [t or "" for t in part.column(len(rest)).to_pylist()]
                 ids, n = encoder.encode(texts)
                 edges = np.concatenate(([0], np.cumsum(n)))
                 same = [decode(ids[a:z], path) == t.replace(BLANK, " ") for a, z, t in zip(edges[:-1], edges[1:], texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(n.astype(np.int32)), pa.array(same)], names=[*others, *(f.name for f in made)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(n.astype(np.int32)), pa.array(same)], names=[*names, *(f.name for f in made)])
 
-    rows = docs.select(*others, text)
-    return rows.mapInArrow(encode, T.StructType([*rows.schema.fields[:-1], *made]))
+    # under plain names, as Spark's own call cannot take dots
+    rows = docs.select(*quoted(*rest), valid(text)).toDF(*names, "text")
+    found = rows.mapInArrow(encode, T.StructType([*rows.schema.fields[:-1], *made]))
+    return found.toDF(*rest, *(f.name for f in made))
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import blocks, code_points, hash_bar, hash_rank, mix, shingles, span_hashes, words, written
+from gridhead.llm.common import blocks, code_points, hash_bar, hash_rank, mix, shingles, span_hashes, valid, words, written
 
 #: Labelled rows that the model is fitted on, about.
 SAMPLE = 12_000
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("quality"))
     chosen = written(known.where(hash_rank("doc_id") < hash_bar(sample, known.count())), "quality-labels")
-    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    taught = docs.select("doc_id", valid("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     # a document that has several rows is one example, the one of its least text
     taught = taught.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("quality").alias("quality")).select("text", "quality")
 
@@ -183,7 +183,7 @@ def score_column(docs: DataFrame, model: dict, text: str = "text") -> Column:
                 out[cut] = 1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["offset"], -30, 30)))
             yield pd.Series(out)
 
-    return score(F.col(text))
+    return score(valid(text))
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -195,7 +195,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """`doc_id, held_out, score, predicted` of every row of `docs`, learnt from the labels of rows that are not held out.
 
     Null and empty texts are scored as texts without features, very long ones whole. Equal texts have equal scores; ids
-    may repeat or be null. Further columns are ignored. An empty table gives an empty result.
+    may repeat or be null; bytes that are no valid UTF-8 are read as U+FFFD. Further columns are ignored. An empty table gives an empty result.
     """
     model = train(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), sample)
     scored = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), score_column(docs, model).alias("score"))
@@ -203,6 +203,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that score at least `THRESHOLD`, with all their columns."""
+    """The rows of `docs` that score at least `THRESHOLD`, with all their columns; an empty table stays empty."""
     model = train(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), sample)
     return docs.where(score_column(docs, model) >= THRESHOLD)

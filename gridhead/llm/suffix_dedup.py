@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import mix, partitions, release_memory, written
+from gridhead.llm.common import mix, partitions, quoted, release_memory, valid, written
 
 #: Bytes of a string that must not occur twice, and of an anchor.
 LENGTH, ANCHOR = 200, 64
@@ -395,7 +395,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
     Rows with equal texts are different places of the same strings, so such texts of `LENGTH` bytes or more are repeated as a whole.
     """
-    keyed = docs.select(F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("also"), F.struct(*docs.columns).alias("row"))
+    docs = docs.withColumn("text", valid("text"))
+    keyed = docs.select(F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("also"), F.struct(*quoted(*docs.columns)).alias("row"))
     parts = partitions(docs)
     packed = _anchors(keyed.select("key", "also", "row.text"), parts).repartitionById(parts, F.col("bucket"))
     repeated = written(_repeated(packed), "suffix-stretches")
@@ -430,7 +431,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     Removed is each UTF-8 byte under a `LENGTH`-byte string that also starts anywhere else, in the same text or another;
     strings are judged on the input. A null text is empty; shorter texts keep everything; very long ones are handled
-    whole; ids may repeat or be null. Further columns are ignored. An empty table gives an empty result.
+    whole; bytes that are no valid UTF-8 are U+FFFD; ids may repeat or be null. Further columns are ignored. An empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
@@ -457,6 +458,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with all columns, the repeated strings taken out of `text` and `n_chars` (if there) counted anew.
 
     Where a span cuts a character, the rest of that character goes too. Every row stays, if need be with an empty text.
+    Bytes of a text that are no valid UTF-8 become U+FFFD.
     """
 
     @F.pandas_udf("string")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridhead.llm.common import partitions
+from gridhead.llm.common import partitions, valid
 
 #: Pre-tokens whose piece counts a task keeps at most; it forgets them all beyond that.
 KEPT = 500_000
@@ -113,7 +113,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """`id_col, n_bytes, n_tokens` of every row of `docs`: its whole text's UTF-8 bytes and tokens.
 
     A null text counts as empty (0 bytes, 0 tokens); a very long one is counted whole. Ids may repeat or be null: each
-    row is counted for itself.
+    row is counted for itself. Bytes that are no valid UTF-8 are read as U+FFFD.
     Strings of added tokens inside a text are one token each, as the library's default has it.
     `tokenizer_path` must be readable on the executors. An empty table gives an empty result.
     """
@@ -164,7 +164,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     if id_type not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be an integer column")
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, _PACKED)
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), valid(text_col).alias("text")).mapInArrow(pack, _PACKED)
     summed = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(count, _SUMS)
     counted = summed.groupBy("batch").applyInPandas(total, "id long, n_bytes long, n_tokens long")
     return counted.select(F.nullif(F.col("id"), F.lit(NO_ID)).cast(id_type).alias(id_col), "n_bytes", "n_tokens")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 #: Names of columns that the operators use inside or make.
-NAMES = ("key", "rep", "bucket", "score", "n", "runs", "row", "seed", "found", "v", "u", "node", "bands", "class_id", "k1", "h", "f", "at", "item_id", "_key", "_also", "_runs", "_runs_key", "_guess", "ids", "n_pieces", "round_trip", "lang_pred")
+NAMES = ("key", "rep", "bucket", "SCORE", "n", "runs", "row", "seed", "found", "v", "u", "node", "bands", "class_id", "k1", "h", "f", "at", "item_id", "_key", "_also", "_runs", "_runs_key", "_guess", "IDS", "n_pieces", "Round_Trip", "Lang_Pred", "a.b", "tree", "place", "labels", "turns", "gone")
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
 
@@ -17,7 +17,7 @@ def documents(spark, texts, ids=None, langs=None):
 
 def clashing(df):
     """The same rows with columns whose names the operators use inside."""
-    return df.withColumns({c: F.lit("x") for c in NAMES if c not in df.columns})
+    return df.withColumns({c: F.lit("x") for c in NAMES if c.lower() not in {d.lower() for d in df.columns}})
 
 
 def prose(rng: random.Random, n: int) -> str:
