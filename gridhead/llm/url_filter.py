@@ -48,9 +48,20 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+#: A name, and perhaps a value in double, single or no quotes.
+_NAMED = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+#: A tag of links, with `>` inside quotes being none of its ends.
+_TAG = r"""(?is)(<(?:link|meta|base)(?=[\s/>"'])[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,200}+>)"""
+#: What is no markup: comments, scripts and styles, open ones up to the end.
+_ASIDE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+    """The value of a tag's first attribute of this name, or the empty text; attributes are read one after the other."""
+    body = F.regexp_replace(tag, r"^<[A-Za-z]+", " ")
+    every = F.zip_with(F.regexp_extract_all(body, F.lit(_NAMED), F.lit(1)), F.regexp_extract_all(body, F.lit(_NAMED), F.lit(2)), lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("value")))
+    value = F.get(F.filter(every, lambda a: a["name"] == name), F.lit(0))["value"]
+    return F.coalesce(F.regexp_replace(value, r"""^["']|["']$""", ""), F.lit(""))
 
 
 def _absolute(url: Column, link: Column) -> Column:
@@ -103,13 +114,21 @@ def node_of(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """`u, v` (nodes): a page's URL and where its canonical link or redirect leads."""
-    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    tag = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
+    """`u, v` (nodes): a page's URL and where its canonical link or redirect leads, seen from its base address if it has one.
+
+    Links in comments, scripts and styles are none.
+    """
+    linked = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", _ASIDE, " "), F.lit(_TAG), F.lit(1))
+    found = linked.select(F.trim("url").alias("url"), tags.alias("tags"))
+    bases = F.filter("tags", lambda t: t.rlike(r"(?is)^<base\b.*\bhref\b"))
+    base = F.nullif(F.trim(_decoded(_attribute(F.get(bases, F.lit(0)), "href"))), F.lit(""))
+    seen = found.withColumn("seen_from", F.when(F.size(bases) > 0, _absolute(F.col("url"), base)))
+    tag = seen.select("url", F.coalesce("seen_from", "url").alias("seen_from"), F.explode("tags").alias("tag")).where(~F.col("tag").rlike("(?i)^<base"))
+    canonical = F.when(F.col("tag").rlike("(?i)^<link") & F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
     redirect = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1))
-    links = tag.select("url", F.trim(_decoded(F.coalesce(canonical, redirect))).alias("link")).where("link <> ''")
-    return links.select(node_of(F.col("url")).alias("u"), node_of(_absolute(F.trim("url"), F.col("link"))).alias("v"))
+    links = tag.select("url", "seen_from", F.trim(_decoded(F.coalesce(canonical, redirect))).alias("link")).where("link <> ''")
+    return links.select(node_of(F.col("url")).alias("u"), node_of(_absolute(F.col("seen_from"), F.col("link"))).alias("v"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -83,3 +83,26 @@ def test_components_of_long_paths_and_hubs(spark):
     df = spark.createDataFrame(edges, "u long, v long").repartition(4)
     got = dict(components(df, "test-components").collect())
     assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1400)} | {5000: 5000, 5001: 5000}
+
+
+def test_what_is_no_link(spark):
+    """Attributes of other names, comments, scripts, `>` in quotes, and the base address."""
+    bad = "http://bad.com/en/1"
+    html = [
+        f'<link rel="canonical" data-href="http://x/" href="{bad}">',
+        f'<link rel="canonical" data-href="{bad}" href="http://x.example/">',
+        f"<!-- {link(bad)} --> <p>canonical",
+        f"<!-- open {link(bad)}",
+        f"<script>var x = \"{link(bad)}\"</script>",
+        f'<style>{refresh(bad)}</style>{link("http://y.example/")}',
+        f'<link title="a>b" rel=canonical href="{bad}">',
+        f"<link title=\"it's href='http://z.example/'\" rel='canonical' href={bad}>",
+        f'<base href="http://bad.com/en/"><link rel=canonical href="2">',
+        '<base target=_blank><base href="http://y.example/"><link rel=canonical href="2">',
+        f'<link rel=canonical href="3"><BASE HREF="//bad.com/en/x">',
+        f'<linked rel=canonical href="{bad}">',
+        f'<link rel="canonical" title={"x" * 100_000} {"a=1 b=" * 20_000}c href="{bad}">',
+        '<link rel="canonical" ' + "a='1' " * 5_000 + "href='http://w.example/'",
+    ]
+    got = judged(spark, [(i, f"http://page{i}.example/p/", h) for i, h in enumerate(html)])
+    assert [i for i, v in got.items() if v[3] == "block"] == [0, 6, 7, 8, 10, 12]
