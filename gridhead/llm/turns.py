@@ -151,42 +151,55 @@ def applied(edits: str, turns: Sequence[tuple[bytes, bytes]], state: int) -> tup
 
 
 def judged(rows: DataFrame, absent: str | None = None) -> DataFrame:
-    """`rows` (see `repair`) with their `code`: one row for all that are equal, with their number.
+    """`rows` (see `repair`) with their `code`, and slim records (`marker`) that say which of them repeat an earlier turn.
 
-    Texts that occur more than once in a conversation are found by their digests, counted before they are shuffled.
+    Repeats are found by digests, counted before they are shuffled; the texts stay out of that join. A marker has the place
+    (conv_id, turn, role, head) of its turn, so that it arrives where the turn does. Blank and absent turns, of which a
+    table may hold any number of copies, are counted first as well (`copies`).
     """
     text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
     gone = F.lit(False) if absent is None else F.coalesce(F.col(absent), F.lit(False))
     given = rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.when(gone, "").otherwise(role).alias("role"), F.when(gone, "").otherwise(text).alias("text"), gone.alias("gone"))
-    given = given.withColumn("digest", F.sha2(F.concat_ws(":", F.octet_length("role").cast("string"), "role", "text"), 256))
-    kept = given.where(~F.col("gone"))
-    # the first turn of each text that comes again: null before all numbers
-    again = kept.groupBy("conv_id", "digest").agg(F.count("*").alias("n"), F.max(F.col("turn").isNull()).alias("no_turn"), F.min("turn").alias("least"))
-    again = written(again.where("n > 1").select(F.col("conv_id").alias("_conv"), F.col("digest").alias("_digest"), F.when(~F.col("no_turn"), F.col("least")).alias("first")), "turns-again")
-    joined = given.join(again, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("digest") == F.col("_digest")) & ~F.col("gone"), "left")
-    found = joined.select("conv_id", "turn", "role", "text", "gone", F.col("_digest").isNotNull().alias("again"), (F.col("_digest").isNotNull() & ~F.col("turn").eqNullSafe(F.col("first"))).alias("later"))
-    alone = found.where(~F.col("again")).withColumn("copies", F.lit(1).cast("bigint"))
-    together = found.where("again").groupBy("conv_id", "turn", "role", "text", "gone", "again", "later").agg(F.count("*").alias("copies"))
-    every = alone.unionByName(together)
-    bare = F.rtrim("text", F.lit(BLANKS))
-    blank = bare == ""
+    given = given.withColumn("head", F.substring("text", 1, HEAD)).withColumn("bare", F.rtrim("text", F.lit(BLANKS)))
+    full = given.where("bare <> ''")
+    empty = given.where("bare = ''").groupBy("conv_id", "turn", "role", "text", "gone", "head", "bare").agg(F.count("*").alias("copies"))
+    every = full.withColumn("copies", F.lit(1).cast("bigint")).unionByName(empty)
     initial = F.substring("role", 1, 1)
     kind = F.when(initial == "s", S_ROLE).when(initial == "u", U_ROLE).when(initial == "a", A_ROLE).otherwise(OTHER_ROLE)
-    cut = ~F.substring(bare, -1, 1).isin(*ENDS)
-    fault = F.when(blank | F.col("later"), GONE).when(cut, CUT).otherwise(FINE)
-    return every.select("conv_id", "turn", "role", "text", "gone", "copies", (kind * 3 + fault).cast("int").alias("code"), blank.alias("blank"))
+    blank = F.col("bare") == ""
+    fault = F.when(blank, GONE).when(~F.substring("bare", -1, 1).isin(*ENDS), CUT).otherwise(FINE)
+    coded = every.select("conv_id", "turn", "role", "head", "text", "gone", "copies", (kind * 3 + fault).cast("int").alias("code"), blank.alias("blank"), F.lit(None).cast("string").alias("marker"))
+
+    slim = full.select("conv_id", "turn", "role", "head", F.sha2(F.concat_ws(":", F.octet_length("role").cast("string"), "role", "text"), 256).alias("digest"))
+    # the first turn of each text that comes again: null before all numbers
+    again = slim.groupBy("conv_id", "digest").agg(F.count("*").alias("n"), F.max(F.col("turn").isNull()).alias("no_turn"), F.min("turn").alias("least"))
+    again = again.where("n > 1").select(F.col("conv_id").alias("_conv"), F.col("digest").alias("_digest"), F.when(~F.col("no_turn"), F.col("least")).alias("first"))
+    later = slim.join(written(again, "turns-again"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("digest") == F.col("_digest"))).where(~F.col("turn").eqNullSafe(F.col("first")))
+    marks = later.groupBy("conv_id", "turn", "role", "head", "digest").agg(F.lit(0).alias("code"))
+    none = {"text": F.lit(""), "gone": F.lit(False), "copies": F.lit(0).cast("bigint"), "blank": F.lit(False)}
+    return coded.unionByName(marks.withColumnRenamed("digest", "marker").withColumns(none))
+
+
+_COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+_REPORT = ", ".join(f"{c} bigint" for c in _COUNTS) + ", audit string, repaired_sha256 string"
+_REPORT_KINDS = {**dict.fromkeys(_COUNTS, pa.int64()), "audit": pa.string(), "repaired_sha256": pa.string()}
 
 
 _BLOCK = """piece int, block int, whole boolean, n int, codes binary, turns array<struct<role:binary,text:binary>>, blank bigint, duplicate bigint, truncated bigint,
-    illegal bigint, first_initial string, last_initial string, first_turn bigint, last_turn bigint, n_turns bigint, transfer array<bigint>"""
+    illegal bigint, first_initial string, last_initial string, first_turn bigint, last_turn bigint, n_turns bigint, transfer array<bigint>, report struct<""" + _REPORT + ">"
 _TURNS = pa.list_(pa.struct([("role", pa.binary()), ("text", pa.binary())]))
 _KINDS = {
     "piece": pa.int32(), "block": pa.int32(), "whole": pa.bool_(), "n": pa.int32(), "codes": pa.binary(), "turns": _TURNS, "blank": pa.int64(), "duplicate": pa.int64(), "truncated": pa.int64(),
-    "illegal": pa.int64(), "first_initial": pa.string(), "last_initial": pa.string(), "first_turn": pa.int64(), "last_turn": pa.int64(), "n_turns": pa.int64(), "transfer": pa.list_(pa.int64()),
+    "illegal": pa.int64(), "first_initial": pa.string(), "last_initial": pa.string(), "first_turn": pa.int64(), "last_turn": pa.int64(), "n_turns": pa.int64(), "transfer": pa.list_(pa.int64()), "report": pa.struct(list(_REPORT_KINDS.items())),
 }
 _LEGAL = {"su", "ua", "au"}
 
 
+def digest(role: bytes, text: bytes) -> str:
+    """As `judged` has it."""
+    return hashlib.sha256(b"%d:%b:%b" % (len(role), role, text)).hexdigest()
+
+
 def _initial(role: bytes) -> str:
     return role[:4].decode(errors="replace")[:1]
 
@@ -220,14 +233,20 @@ class _Block:
         self.turns.append((role, text))
         self.size += len(role) + len(text)
 
-    def row(self, piece: int, whole: bool) -> tuple:
+    def row(self, piece: int, whole: bool, report: bool) -> tuple:
+        """The block's record; of a whole conversation the report alone, if that is all that is asked for."""
         codes = bytes(self.codes)
+        if whole and report:
+            told = _Told()
+            costs, ((edits, state),) = walks(codes, _FINAL, [START])
+            told.add(vars(self) | {"n": len(codes)}, self.turns, edits, state, costs[START])
+            return (piece, self.number, whole, *[None] * (len(_KINDS) - 4), dict(zip(_REPORT_KINDS, told.close()[1], strict=True)))
         table = [] if whole else list(itertools.chain(*transfer(codes)))
         turns = [{"role": r, "text": t} for r, t in self.turns]
-        return (piece, self.number, whole, len(codes), codes, turns, self.blank, self.duplicate, self.truncated, self.illegal, self.first_initial, self.last_initial, self.first_turn, self.last_turn, self.n_turns, table)
+        return (piece, self.number, whole, len(codes), codes, turns, self.blank, self.duplicate, self.truncated, self.illegal, self.first_initial, self.last_initial, self.first_turn, self.last_turn, self.n_turns, table, None)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_turns: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_turns: int, report: bool) -> Iterator[pa.RecordBatch]:
     """Sorted turns of one range to blocks. The range's first and last conversation may go on in others, so they are never `whole`."""
     from pyspark import TaskContext
 
@@ -243,15 +262,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_turns: i
         return pa.RecordBatch.from_arrays([pa.array(keys, kind), *columns], names=["conv_id", *_KINDS])
 
     key, block, first, started = None, None, True, False
+    marks: set[str] = set()  # of the place at hand
+    marked = before = None
 
     def close(whole: bool) -> None:
         nonlocal held
-        out.append((key, block.row(piece, whole)))
+        out.append((key, block.row(piece, whole, report)))
         held += block.size + 200 * len(block.codes)
 
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
-        for conv, turn, role, text, gone, copies, code, blank in zip(*columns, strict=True):
+        for conv, turn, role, head, text, gone, copies, code, blank, marker in zip(*columns, strict=True):
+            place = (conv, turn, role, head)
+            if marker is not None:
+                if marked != place:
+                    marks.clear()
+                    marked = place
+                marks.add(marker)
+                continue
             if not started or conv != key:
                 if started:
                     close(block.number == 0 and not first)
@@ -259,11 +287,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_turns: i
                 key, block, started = conv, _Block(0), True
             if gone:
                 continue
+            # equal turns follow each other
+            repeated = before == (place, text) or (marked == place and digest(role, text) in marks)
+            before = (place, text)
             for k in range(copies):
                 if block.codes and (len(block.codes) == block_turns or block.size + len(text) > BLOCK_BYTES):
                     close(False)
                     block = _Block(block.number + 1)
-                block.add(turn, role, text, code if k == 0 else code - code % 3 + GONE, blank)
+                block.add(turn, role, text, code - code % 3 + GONE if repeated or k else code, blank)
                 if held > BLOCK_BYTES:
                     yield flush()
     if started:
@@ -272,14 +303,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_turns: i
         yield flush()
 
 
-def blocks(rows: DataFrame, block_turns: int = BLOCK_TURNS, absent: str | None = None) -> DataFrame:
+def blocks(rows: DataFrame, block_turns: int = BLOCK_TURNS, absent: str | None = None, report: bool = False) -> DataFrame:
     """The turns of `rows` (see `repair`) as a table of blocks (see `_BLOCK`), in the order of (piece, block) within a conversation."""
     keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role")]
-    ranges = judged(rows, absent).repartitionByRange(partitions(rows), *keys, F.substring("text", 1, HEAD))
-    ordered = ranges.sortWithinPartitions(*keys, "text").select("conv_id", "turn", F.col("role").cast("binary"), F.col("text").cast("binary"), "gone", "copies", "code", "blank")
+    ranges = judged(rows, absent).repartitionByRange(partitions(rows), *keys, "head")
+    ordered = ranges.sortWithinPartitions(*keys, "head", F.col("marker").desc_nulls_last(), "text")
+    ordered = ordered.select("conv_id", "turn", *(F.col(c).cast("binary") for c in ("role", "head", "text")), "gone", "copies", "code", "blank", "marker")
     schema = with_key(rows, "conv_id", _BLOCK)
     kind = _arrow(rows)
-    return written(ordered.mapInArrow(lambda batches: _blocks(batches, kind, block_turns), schema), "turns-blocks")
+    return written(ordered.mapInArrow(lambda batches: _blocks(batches, kind, block_turns, report), schema), "turns-blocks")
 
 
 def _arrow(rows: DataFrame) -> pa.DataType:
@@ -315,11 +347,6 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["conv_id", "piece", "block", "cost", "edits", "ends"])
 
 
-_COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
-_REPORT = ", ".join(f"{c} bigint" for c in _COUNTS) + ", audit string, repaired_sha256 string"
-_REPORT_KINDS = {**dict.fromkeys(_COUNTS, pa.int64()), "audit": pa.string(), "repaired_sha256": pa.string()}
-
-
 class _Told:
     """The report of a conversation, from its blocks in order."""
 
@@ -329,7 +356,7 @@ class _Told:
         self.last_initial = self.first_turn = self.last_turn = self.cost = None
         self.state, self.audit = START, []
 
-    def add(self, b: dict, edits: str, state: int, cost: int) -> list[tuple[bytes, bytes]]:
+    def add(self, b: dict, rows: list[tuple[bytes, bytes]], edits: str, state: int, cost: int) -> list[tuple[bytes, bytes]]:
         self.blank, self.duplicate, self.truncated = self.blank + b["blank"], self.duplicate + b["duplicate"], self.truncated + b["truncated"]
         self.illegal += b["illegal"]
         if self.last_initial is not None and b["n"]:
@@ -341,7 +368,7 @@ class _Told:
             self.first_turn = b["first_turn"] if self.first_turn is None else self.first_turn
             self.last_turn = b["last_turn"]
         self.cost = cost if self.cost is None else self.cost
-        turns, end = applied(edits, [(t["role"], t["text"]) for t in b["turns"]], self.state)
+        turns, end = applied(edits, rows, self.state)
         assert end == state
         self.state = state
         self.audit.append(edits)
@@ -395,7 +422,7 @@ def _told(batches: Iterator[pa.RecordBatch], kind: pa.DataType, report: bool) ->
                 cost = costs[START]
             else:
                 edits, state, cost = b["edits"][told.state], b["ends"][told.state], b["cost"]
-            turns = told.add(b, edits, state, cost)
+            turns = told.add(b, [(t["role"], t["text"]) for t in b["turns"]], edits, state, cost)
             if not report:
                 keys.append(key)
                 rows.append((part, [{"role": r, "text": t} for r, t in turns]))
@@ -407,9 +434,12 @@ def _told(batches: Iterator[pa.RecordBatch], kind: pa.DataType, report: bool) ->
 
 def _in_order(rows: DataFrame, report: bool, block_turns: int, absent: str | None) -> DataFrame:
     kind = _arrow(rows)
-    found = blocks(rows, block_turns, absent)
+    found = blocks(rows, block_turns, absent, report)
     out = with_key(rows, "conv_id", _REPORT if report else _REPAIRED)
-    done = found.where("whole").drop("transfer").mapInArrow(lambda batches: _told(batches, kind, report), out)
+    if report:
+        done = found.where("whole").select("conv_id", "report.*")
+    else:
+        done = found.where("whole").drop("transfer", "report").mapInArrow(lambda batches: _told(batches, kind, report), out)
     parts = found.where(~F.col("whole"))
     n = partitions(rows)
     back = parts.select("conv_id", "piece", "block", "transfer").repartition(n, "conv_id").sortWithinPartitions("conv_id", F.desc("piece"), F.desc("block"))
@@ -418,7 +448,7 @@ def _in_order(rows: DataFrame, report: bool, block_turns: int, absent: str | Non
     ends = back.mapInArrow(_backwards, with_key(rows, "conv_id", _ENDS)).withColumnsRenamed(place)
     walked = parts.select("conv_id", "piece", "block", "codes").join(ends, same).select("conv_id", "piece", "block", "codes", "after")
     walked = walked.mapInArrow(_walked, with_key(rows, "conv_id", _WALKED)).withColumnsRenamed(place)
-    whole = parts.drop("transfer", "codes").join(walked, same).drop(*place.values())
+    whole = parts.drop("transfer", "codes", "report").join(walked, same).drop(*place.values())
     front = whole.repartition(n, "conv_id").sortWithinPartitions("conv_id", "piece", "block")
     return done.unionByName(front.mapInArrow(lambda batches: _told(batches, kind, report), out))
 
