@@ -11,9 +11,9 @@ each text is compared with the bucket's leader, the text that shares most bands
 the one that they were copied from), so thousands of near copies are thousands of comparisons.
 
 A leader may leave texts unlinked that are linked to each other. To compare them all would be all pairs of a group,
-so a more central leader is looked for, and their differences from it are joined by prefixes: two texts that are linked although the leader links not
-both must share so many differences that they share one among the first of each (rare ones first), while copies
-that were changed independently share few. No pair at the threshold that shares a bucket is missed by this.
+so a large group is split about more central texts, and the differences from these are joined by prefixes: two texts
+that are linked although the leader links not both must share so many differences that they share one among the first
+of each (rare ones first), while copies that were changed independently share few. No pair at the threshold that shares a bucket is missed by this.
 
 Every comparison is of whole sets of 64-bit cells, and classes are the connected components of the links at
 `SIMILARITY` or more.
@@ -21,6 +21,7 @@ Every comparison is of whole sets of 64-bit cells, and classes are the connected
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,10 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Texts under one leader from which on their differences are looked at in the order of how rare they are, and texts that this order is taken from.
 FEW, ORDER_SAMPLE = 48, 200
+#: Bytes of that sample, rounds in which groups are split, and centres a round, with the bytes of all but the first and the sampled texts that one takes at least.
+SAMPLE_BYTES, ROUNDS, CENTRES, CENTRE_BYTES, LEAST_NEAR = 16_000_000, 4, 8, 16_384, 3
 #: Differences that meet in one group of a task, about, and pairs that are looked at at once.
-ENTRIES, PAIRS_AT_ONCE = 200_000, 1_000_000
+ENTRIES, PAIRS_AT_ONCE, COLUMNS_AT_ONCE = 200_000, 1_000_000, 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,27 +198,123 @@ def _led(texts: DataFrame) -> DataFrame:
     return sized.select("bucket", "scale", F.col("node").alias("u")).join(leaders, ["bucket", "scale"]).where("u <> v").select("u", "v").distinct()
 
 
-def _common(rows: DataFrame) -> DataFrame:
-    """`v, common, times`: the cells that several of `ORDER_SAMPLE` texts under a leader differ in, with how many (packed).
+def _sampled(rows: DataFrame) -> DataFrame:
+    """Of each group (v, round) of more than `FEW` texts at most `ORDER_SAMPLE` of them, of `SAMPLE_BYTES` of differences and one more.
 
-    Only the order in which differences are looked at depends on this sample, never a result.
+    Only the order in which differences are looked at and the choice of centres depend on this sample, never a result.
     """
-    order = Window.partitionBy("v").orderBy(F.xxhash64("u"), "u")
-    some = rows.where(F.col("size") > FEW).select("v", "u", "apart").withColumn("place", F.row_number().over(order)).where(F.col("place") <= ORDER_SAMPLE)
+    order = Window.partitionBy("v", "round").orderBy(F.xxhash64("u", "round"), "u")
+    some = rows.where(F.col("size") > FEW).select("v", "round", "u", "n", "u_in", "apart").withColumn("place", F.row_number().over(order)).where(F.col("place") <= ORDER_SAMPLE)
+    before = F.sum(F.length("apart").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("apart")
+    return some.withColumn("before", before).where(F.col("before") <= SAMPLE_BYTES)
+
+
+def _common(rows: DataFrame) -> DataFrame:
+    """`v, round, common, times`: the cells that several sampled texts of a group differ in from their leader, with how many (packed)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             common, often = [], []
-            for lists in b.column(1).to_pylist():
+            for lists in b.column(2).to_pylist():
                 cell, times = np.unique(np.frombuffer(b"".join(lists), np.uint64), return_counts=True)
                 common.append(cell[times > 2].tobytes())
                 often.append(times[times > 2].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_pydict({"v": b.column(0), "common": pa.array(common, pa.binary()), "times": pa.array(often, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"v": b.column(0), "round": b.column(1), "common": pa.array(common, pa.binary()), "times": pa.array(often, pa.binary())})
+
+    lists = _sampled(rows).groupBy("v", "round").agg(F.collect_list("apart").alias("lists"))
+    return written(lists.mapInArrow(count, "v long, round int, common binary, times binary"), "dup-common")
+
+
+def distances(lists: list[np.ndarray]) -> np.ndarray:
+    """How many cells are in one only of each two of the sorted lists."""
+    size = np.array([len(x) for x in lists])
+    cell, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), size)
+    found, column = np.unique(cell, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(lists), len(lists)))
+    for first in range(0, len(found), COLUMNS_AT_ONCE):
+        low, high = np.searchsorted(column, [first, first + COLUMNS_AT_ONCE])
+        has = np.zeros((len(lists), COLUMNS_AT_ONCE), np.float32)
+        has[owner[low:high], column[low:high] - first] = 1
+        both += has @ has.T
+    return size[:, None] + size[None, :] - 2 * both.astype(np.int64)
+
+
+def centres(lists: list[np.ndarray]) -> tuple[list[int], bool]:
+    """Places of the texts about which a group is split, by their differences from its leader, and whether all of it goes to the first.
+
+    Each takes the texts that are nearer to it than to the leader; the next one is looked for among the others.
+    """
+    size, far = np.array([len(x) for x in lists]), distances(lists)
+    left, out, held = np.ones(len(lists), bool), [], 0
+    while len(out) < CENTRES:
+        gain = np.where(left[:, None] & left[None, :], np.maximum(size[None, :] - far, 0), 0)
+        best = int(gain.sum(1).argmax())
+        held += size[best] * 8
+        near = left & (far[best] < size)
+        if near.sum() < LEAST_NEAR or (out and held > CENTRE_BYTES):
+            break
+        out.append(best)
+        left &= ~near
+        if len(out) == 1 and 10 * left.sum() < len(lists):
+            return out, True
+    return out, False
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """`v, c, c_n, c_in, c_apart, moved`: the centres of the groups of many texts that have any, each with its size, component and differences from v."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("v", "c", "c_n", "c_in", "c_apart", "moved")}
+            for v, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                group.sort(key=lambda t: t["u"])
+                at, moved = centres([np.frombuffer(t["apart"], np.uint64) for t in group])
+                if at:
+                    out["v"].append(v)
+                    out["moved"].append(moved)
+                    for name, of in (("c", "u"), ("c_n", "n"), ("c_in", "u_in"), ("c_apart", "apart")):
+                        out[name].append([group[k][of] for k in at])
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.bool_())
+            yield pa.RecordBatch.from_pydict({k: pa.array(x, t) for (k, x), t in zip(out.items(), types, strict=True)})
+            release_memory()
+
+    lists = _sampled(rows).groupBy("v").agg(F.collect_list(F.struct("u", "n", "u_in", "apart")).alias("texts"))
+    return written(lists.mapInArrow(chosen, "v long, c array<long>, c_n array<int>, c_in array<long>, c_apart array<binary>, moved boolean"), "dup-centres")
 
-    return written(some.groupBy("v").agg(F.collect_list("apart").alias("lists")).mapInArrow(count, "v long, common binary, times binary"), "dup-common")
 
+def _assigned(rows: DataFrame, picked: DataFrame) -> DataFrame:
+    """The rows with the centre `to` that each goes to (the leader itself for the rest of a split group, null in a group that is not split).
 
-_ENTRY = np.dtype([("cell", "<u8"), ("node", "<i8"), ("inside", "<i8"), ("n", "<i4"), ("d", "<i4"), ("place", "<i4"), ("asks", "?"), ("asked", "?")])
+    With it come its size, component and the text's differences from it: those from the leader that not both have.
+    """
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to, to_m, to_in, to_apart, near = [], [], [], [], []
+            columns = (b.column(k).to_pylist() for k in ("u", "v", "n", "m", "v_in", "c", "c_n", "c_in", "c_apart", "moved"))
+            for own, (u, v, n, m, v_in, c, c_n, c_in, c_apart, moved) in zip(b.column("apart"), zip(*columns, strict=True), strict=True):
+                go, hit = (v, m, v_in, None) if c else (None, None, None, None), False
+                apart = np.frombuffer(own.as_buffer(), np.uint64) if c else None
+                for k, other in enumerate(c_apart or []):
+                    only = np.setxor1d(apart, np.frombuffer(other, np.uint64), assume_unique=True)
+                    if moved or len(only) < len(apart):
+                        go, hit = (c[k], c_n[k], c_in[k], only.tobytes()), u != c[k] and bool(linked(n, c_n[k], len(only)))
+                        break
+                for x, y in zip((to, to_m, to_in, to_apart), go, strict=True):
+                    x.append(y)
+                near.append(hit)
+            added = {"to": pa.array(to, pa.int64()), "to_m": pa.array(to_m, pa.int32()), "to_in": pa.array(to_in, pa.int64()), "to_apart": pa.array(to_apart, pa.binary()), "near": pa.array(near, pa.bool_())}
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in (*names, "moved")} | added)
+            release_memory()
+
+    names = rows.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return written(rows.join(picked, "v", "left").select(*names, "c", "c_n", "c_in", "c_apart", "moved").mapInArrow(assign, f"{schema}, moved boolean, to long, to_m int, to_in long, to_apart binary, near boolean"), "dup-assigned")
+
+
+_ENTRY = np.dtype([("cell", "<u8"), ("node", "<i8"), ("inside", "<i8"), ("own", "<i8"), ("n", "<i4"), ("d", "<i4"), ("place", "<i4"), ("asks", "?"), ("asked", "?")])
 
 
 def _needed(d: int, n: int, m: int, asks: bool) -> tuple[int, int]:
@@ -230,7 +329,7 @@ def _needed(d: int, n: int, m: int, asks: bool) -> tuple[int, int]:
     return asking, max(1, -(-(9 * d + m + 1 - n) // 18))
 
 
-def _entries(u: int, inside: int, leader_inside: int, n: int, m: int, apart: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+def _entries(u: int, inside: int, leader_inside: int, own: int, n: int, m: int, apart: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The differences of a text by which it asks and is asked: those that come first, rare ones before common ones, so that two linked texts have one of these in common."""
     asks = inside != leader_inside
     asking, asked = (len(apart) - k + 1 for k in _needed(len(apart), n, m, asks))
@@ -241,63 +340,72 @@ def _entries(u: int, inside: int, leader_inside: int, n: int, m: int, apart: np.
         apart = apart[np.lexsort((apart, np.where(common[at] == apart, times[at], 0)))]
     out = np.zeros(max(asking, asked), _ENTRY)
     out["cell"], out["place"] = apart[: len(out)], np.arange(len(out))
-    out["node"], out["inside"], out["n"], out["d"] = u, inside, n, len(apart)
+    out["node"], out["inside"], out["own"], out["n"], out["d"] = u, inside, own, n, len(apart)
     out["asks"], out["asked"] = out["place"] < asking, out["place"] < asked
     return out
 
 
 def met(entries: np.ndarray) -> np.ndarray:
-    """The pairs (less, greater) of texts in different components that share an entry's cell, one of them asking, unless size or places rule a link out."""
-    entries = entries[np.lexsort((entries["inside"], entries["cell"]))]
+    """The pairs (less, greater) of texts in different components that share an entry's cell, one of them asking, unless size or places rule a link out.
+
+    Texts of one `own` part are passed over: they are of one component, or meet about a centre of their own.
+    """
+    entries = entries[np.lexsort((entries["own"], entries["cell"]))]
     new_cell = np.concatenate(([False], entries["cell"][1:] != entries["cell"][:-1]))
-    new_own = new_cell | np.concatenate(([False], entries["inside"][1:] != entries["inside"][:-1]))
+    new_own = new_cell | np.concatenate(([False], entries["own"][1:] != entries["own"][:-1]))
     cell, own = np.cumsum(new_cell), np.cumsum(new_own)
-    asks, asked = entries[entries["asks"]], entries[entries["asked"]]
-    (cell, among_cell), (own, among_own) = ((x[entries["asks"]], x[entries["asked"]]) for x in (cell, own))
-    begin, end = np.searchsorted(among_cell, cell), np.searchsorted(among_cell, cell, "right")
-    # of the texts under a cell, those of the asking one's own component lie together and are passed over
-    own_first, own_last = np.searchsorted(among_own, own), np.searchsorted(among_own, own, "right")
+    asks, asked = np.flatnonzero(entries["asks"]), np.flatnonzero(entries["asked"])
+    n, d, place = (entries[k].astype(np.int64) for k in ("n", "d", "place"))
+    # four times the differences that a text may have at most to be linked to this one, if they meet here first (and so share nothing before)
+    reach = 4 * (d - 2 * place) + n
+    asked = asked[reach[asked] >= 4 * d[asks].min(initial=2**40)]
+    step = np.floor(np.log(d[asked]) / np.log(1.1))
     out = []
-    for low, high in ((begin, own_first), (own_last, end)):
-        n = high - low
-        cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS_AT_ONCE, int(n.sum()), PAIRS_AT_ONCE))
-        for part in np.split(np.arange(len(asks)), np.unique(cuts)):
-            k = n[part]
-            x = asks[np.repeat(part, k)]
-            y = asked[np.repeat(low[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-            # shared before and after this cell, at most
-            most = np.minimum(x["place"], y["place"]) + np.minimum(x["d"] - x["place"], y["d"] - y["place"])
-            size = x["n"].astype(np.int64) + y["n"]
-            able = (18 * most >= 9 * (x["d"].astype(np.int64) + y["d"]) - size) & linked(x["n"], y["n"], np.abs(x["n"] - y["n"]))
-            two = np.stack([x["node"][able], y["node"][able]], 1)
-            out.append(np.unique(np.sort(two, 1), axis=0))
+    for among in (asked[step == k] for k in np.unique(step)):
+        asking = asks[reach[asks] >= 4 * d[among].min()]
+        begin, end = np.searchsorted(cell[among], cell[asking]), np.searchsorted(cell[among], cell[asking], "right")
+        # of the texts under a cell, those of the asking one's own part lie together and are passed over
+        own_first, own_last = np.searchsorted(own[among], own[asking]), np.searchsorted(own[among], own[asking], "right")
+        for low, high in ((begin, own_first), (own_last, end)):
+            many = high - low
+            cuts = np.searchsorted(np.cumsum(many), np.arange(PAIRS_AT_ONCE, int(many.sum()), PAIRS_AT_ONCE))
+            for part in np.split(np.arange(len(asking)), np.unique(cuts)):
+                k = many[part]
+                x = asking[np.repeat(part, k)]
+                y = among[np.repeat(low[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+                # linked texts share no more than this where they meet first, and pass there
+                most = np.minimum(d[x] - place[x], d[y] - place[y])
+                able = (18 * most >= 9 * (d[x] + d[y]) - n[x] - n[y]) & linked(n[x], n[y], np.abs(n[x] - n[y]))
+                able &= entries["inside"][x] != entries["inside"][y]
+                two = np.stack([entries["node"][x[able]], entries["node"][y[able]]], 1)
+                out.append(np.unique(np.sort(two, 1), axis=0))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def _sharing(rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) of texts under one leader that may be linked though it does not link them, from `u, v, n, m, apart, u_in, v_in, size`.
+    """The pairs (u, v) of texts of one group that may be linked though its leader does not link them, from `u, v, round, n, m, apart, u_in, v_in, own, size`.
 
     A prefix-filtered join: each text lists the differences by which it can be found (`_entries`); the lists of a task's
-    texts travel packed, by leader and a share of the cells, and meet where the share is.
+    texts travel packed, by group and a share of the cells, and meet where the share is.
     """
     share = F.ceil(F.sum(F.length("apart")) / (8 * ENTRIES)).cast("int").alias("shares")
-    shares = rows.groupBy("v").agg(share)
-    full = rows.join(shares, "v")
+    shares = rows.groupBy("v", "round").agg(share)
+    full = rows.join(shares, ["v", "round"])
     if rows.where(F.col("size") > FEW).isEmpty():
         full = full.withColumns({c: F.lit(None).cast("binary") for c in ("common", "times")})
     else:
-        full = full.join(_common(rows), "v", "left")
+        full = full.join(_common(rows), ["v", "round"], "left")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[tuple[int, int], list[bytes]] = {}
-            for u, v, inside, leader_inside, n, m, parts, apart, common, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held: dict[tuple[int, int, int], list[bytes]] = {}
+            for u, v, turn, inside, leader_inside, own, n, m, parts, apart, common, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 common, times = np.frombuffer(common or b"", np.uint64), np.frombuffer(times or b"", np.int32)
-                found = _entries(u, inside, leader_inside, n, m, np.frombuffer(apart, np.uint64), common, times)
+                found = _entries(u, inside, leader_inside, own, n, m, np.frombuffer(apart, np.uint64), common, times)
                 part = (mix(found["cell"]) % np.uint64(parts)).astype(np.int64)
                 for k in np.unique(part).tolist():
-                    held.setdefault((v, k), []).append(found[part == k].tobytes())
-            yield pa.RecordBatch.from_pydict({"v": pa.array([v for v, _ in held], pa.int64()), "part": pa.array([k for _, k in held], pa.int32()), "entries": pa.array([b"".join(e) for e in held.values()], pa.binary())})
+                    held.setdefault((v, turn, k), []).append(found[part == k].tobytes())
+            yield pa.RecordBatch.from_pydict({"v": pa.array([v for v, _, _ in held], pa.int64()), "round": pa.array([r for _, r, _ in held], pa.int32()), "part": pa.array([k for _, _, k in held], pa.int32()), "entries": pa.array([b"".join(e) for e in held.values()], pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, waiting = None, []
@@ -307,58 +415,47 @@ def _sharing(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1]})
 
         for b in batches:
-            for v, part, entries in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (v, part) != last and waiting:
+            for *group, entries in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != last and waiting:
                     yield pairs()
                     waiting.clear()
-                last = (v, part)
+                last = group
                 waiting.append(entries)
         if waiting:
             yield pairs()
         release_memory()
 
-    packed = full.select("u", "v", "u_in", "v_in", "n", "m", "shares", "apart", "common", "times").mapInArrow(listed, "v long, part int, entries binary")
-    return packed.repartition("v", "part").sortWithinPartitions("v", "part").mapInArrow(meet, "u long, v long").distinct()
+    packed = full.select("u", "v", "round", "u_in", "v_in", "own", "n", "m", "shares", "apart", "common", "times").mapInArrow(listed, "v long, round int, part int, entries binary")
+    return packed.repartition("v", "round", "part").sortWithinPartitions("v", "round", "part").mapInArrow(meet, "u long, v long").distinct()
 
 
-def _central(rows: DataFrame) -> DataFrame:
-    """`v, better`: for leaders of many, the text under them that is nearer to what most of them agree on, if there is one.
+def _left_apart(compared: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (u, v) that may be linked though their leader did not join them, from its texts (`compared`) and their components so far; and further links found on the way.
 
-    What a leader alone has or lacks is a difference of all its texts, by which each would meet each.
+    What many texts have in common, but not with their leader, is a difference by which each would meet each. So groups
+    of many are split about centres, a few rounds long: pairs about one centre are looked for by their differences from
+    it, in the next round, and pairs of different centres by those from the leader. Whatever is not split is looked for whole.
     """
-
-    def off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            far, lead = [], []
-            for apart, common, times, sampled in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                own = np.frombuffer(common, np.uint64)[2 * np.frombuffer(times, np.int32) > sampled]
-                far.append(len(np.setxor1d(np.frombuffer(apart, np.uint64), own, assume_unique=True)))
-                lead.append(len(own))
-            yield pa.RecordBatch.from_pydict({"v": b.column(0), "u": b.column(1), "off": pa.array(far, pa.int32()), "lead": pa.array(lead, pa.int32())})
-
-    asked = rows.join(_common(rows), "v").select("v", "u", "apart", "common", "times", F.least("size", F.lit(ORDER_SAMPLE)).alias("sampled"))
-    found = asked.mapInArrow(off, "v long, u long, off int, lead int").where("off < lead")
-    return written(found.groupBy("v").agg(F.min(F.struct("off", "u")).alias("best")).select("v", F.col("best.u").alias("better")), "dup-better")
-
-
-def _left_apart(compared: DataFrame, joined: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs (u, v) that may be linked though their leader did not join them, from its texts (`compared`) and their components so far; and further links found on the way."""
     of = [joined.select(F.col("node").alias(k), F.col("component").alias(f"{k}_in")) for k in "uv"]
     rows = compared.join(of[0], "u", "left").join(of[1], "v", "left").withColumns({"u_in": F.coalesce("u_in", "u"), "v_in": F.coalesce("v_in", "v")})
-    groups = rows.groupBy("v").agg(F.count("*").alias("size"), F.min("u_in").alias("a"), F.max("u_in").alias("b")).where("a < b").select("v", "size")
-    rows = written(rows.join(groups, "v").select("u", "v", "n", "m", "apart", "u_in", "v_in", "size"), "dup-apart")
-    better = None if rows.where(F.col("size") > FEW).isEmpty() else _central(rows)
-    if better is None or better.isEmpty():
-        return _sharing(rows), compared.limit(0).select("u", "v")
-    moved = rows.join(better, "v")
-    pairs = moved.select("u", F.col("better").alias("v")).unionByName(better.select(F.col("v").alias("u"), F.col("better").alias("v"))).where("u <> v").distinct()
-    again = _compared(pairs, sets, differences=True)
-    led = again.join(of[0], "u", "left").join(of[1], "v", "left").withColumn("v_in", F.coalesce("v_in", "v"))
-    # a text that the new leader links is in its component, whatever that was before
-    led = led.withColumn("u_in", F.when(F.col("linked"), F.col("v_in")).otherwise(F.coalesce("u_in", "u")))
-    sizes = again.groupBy("v").agg(F.count("*").alias("size"))
-    kept = rows.join(better, "v", "left_anti").unionByName(led.join(sizes, "v").select(rows.columns))
-    return _sharing(written(kept, "dup-led-again")), again.where("linked").select("u", "v")
+    names, found, links = ["u", "v", "n", "m", "apart", "u_in", "v_in"], [], [compared.limit(0).select("u", "v")]
+    for k in range(ROUNDS + 1):
+        groups = rows.groupBy("v").agg(F.count("*").alias("size"), F.min("u_in").alias("a"), F.max("u_in").alias("b")).where("a < b").select("v", "size")
+        rows = written(rows.join(groups, "v").select(*names, "size", F.lit(k).alias("round")), "dup-apart")
+        whole = rows.withColumn("own", 2 * F.col("u_in"))
+        picked = None if k == ROUNDS or rows.where(F.col("size") > FEW).isEmpty() else _centres(rows)
+        if picked is None or picked.isEmpty():
+            found.append(whole)
+            break
+        split = _assigned(rows, picked)
+        part = F.when(F.col("to").isNull(), 2 * F.col("u_in")).otherwise(2 * F.col("to") + 1)
+        found.append(split.where("NOT coalesce(moved, false)").withColumn("own", part).select(whole.columns))
+        links.append(split.where("near").select("u", F.col("to").alias("v")))
+        # a text that its new leader links is in its component, whatever that was before
+        inside = F.when(F.col("near"), F.col("to_in")).otherwise(F.col("u_in"))
+        gone = split.where("to IS NOT NULL AND to <> u")
+        rows = gone.select("u", F.col("to").alias("v"), "n", F.col("to_m").alias("m"), F.coalesce("to_apart", "apart").alias("apart"), inside.alias("u_in"), F.col("to_in").alias("v_in")).dropDuplicates(["u", "v"])
+    return _sharing(written(functools.reduce(DataFrame.unionByName, found), "dup-searched")), functools.reduce(DataFrame.unionByName, links)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -376,7 +473,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = _cell_sets(texts.join(asked, "node", "left_semi").select("node", "rep", "k1", "k2"), docs)
     compared = _compared(led, sets, differences=True)
     joined = written(components(compared.where("linked").select("u", "v"), "dup-components"), "dup-joined")
-    apart, more = _left_apart(compared, joined, sets)
+    apart, more = _left_apart(compared, joined)
     more = more.unionByName(_compared(apart, sets, differences=False).where("linked").select("u", "v"))
     stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = joined if more.isEmpty() else components(stars.unionByName(more), "dup-classes")

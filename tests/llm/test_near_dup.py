@@ -97,8 +97,8 @@ def test_shared_rare_differences_find_every_link(spark, monkeypatch):
     def packed(cells):
         return bytearray(np.array(sorted(cells), np.uint64).tobytes())
 
-    rows = [(i, -1, len(t), len(leader), packed(t ^ leader), -1 if links(t, leader) else i, -1, len(texts)) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "u long, v long, n int, m int, apart binary, u_in long, v_in long, size long")
+    rows = [(i, -1, 0, len(t), len(leader), packed(t ^ leader), own, -1, 2 * own, len(texts)) for i, t in enumerate(texts) for own in (-1 if links(t, leader) else i,)]
+    df = spark.createDataFrame(rows, "u long, v long, round int, n int, m int, apart binary, u_in long, v_in long, own long, size long")
     inside = [links(t, leader) for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if links(texts[i], texts[j]) and not (inside[i] and inside[j])}
     for entries in (D.ENTRIES, 40):
@@ -112,13 +112,74 @@ def test_pairs_are_the_same_however_they_are_cut(monkeypatch):
     entries = np.zeros(400, D._ENTRY)
     entries["cell"], entries["node"], entries["inside"] = rng.integers(0, 12, 400), rng.integers(0, 90, 400), 0
     entries["inside"], entries["n"], entries["d"], entries["place"] = entries["node"] // 4, 100, 30, rng.integers(0, 9, 400)
+    entries["own"] = np.where(entries["node"] < 45, 2 * entries["inside"], 2 * (entries["node"] % 3) + 1)
     entries["asks"], entries["asked"] = rng.random(400) < 0.3, rng.random(400) < 0.8
-    want = {(min(x["node"], y["node"]), max(x["node"], y["node"])) for x, y in itertools.product(entries[entries["asks"]], entries[entries["asked"]]) if x["cell"] == y["cell"] and x["inside"] != y["inside"]}
+    want = {(min(x["node"], y["node"]), max(x["node"], y["node"])) for x, y in itertools.product(entries[entries["asks"]], entries[entries["asked"]]) if x["cell"] == y["cell"] and x["inside"] != y["inside"] and x["own"] != y["own"]}
     for at_once in (7, 1000, 10**6):
         monkeypatch.setattr(D, "PAIRS_AT_ONCE", at_once)
         assert {tuple(p) for p in D.met(entries).tolist()} == want
 
 
+def around_templates(rng, templates, n, edits):
+    """n copies of templates, each with edits of its own at places of its own: few or none are linked but by chance."""
+    out = []
+    for k in range(n):
+        words = templates[k % len(templates)].split()
+        for place in rng.sample(range(len(words)), edits):
+            words[place] = f"own{k}x{place}"
+        out.append(" ".join(words))
+    return out
+
+
+def templates(rng):
+    """Texts of one origin: three changed in places of their own, and two that share most of their changes."""
+    base = " ".join(f"w{k}" for k in range(100))
+    apart = [replaced(base, range(10 * k, 10 * k + 6), f"t{k}y") for k in range(3)]
+    pair = replaced(base, range(50, 58), "py")
+    return [*apart, replaced(pair, range(70, 74), "qy"), replaced(pair, range(80, 84), "ry")]
+
+
+def searched(spark, monkeypatch, texts):
+    """The classes, and how many pairs the last search hands on."""
+    counts, search = [], D._left_apart
+
+    def spied(*args):
+        pairs, links = search(*args)
+        pairs = pairs.cache()
+        counts.append(pairs.count())
+        return pairs, links
+
+    monkeypatch.setattr(D, "_left_apart", spied)
+    got = {r.doc_id: r.class_id for r in D.classes(documents(spark, texts)).collect()}
+    monkeypatch.setattr(D, "_left_apart", search)
+    return got, counts[0]
+
+
+def test_texts_around_several_templates_do_not_meet_each(spark, monkeypatch):
+    rng = random.Random(31)
+    origin = templates(rng)
+    texts = around_templates(rng, origin, 400, 3) + [edited(rng, t, 1) for t in around_templates(rng, origin, 40, 2)]
+    got, few = searched(spark, monkeypatch, texts)
+    assert got == dict(enumerate(brute(texts)))
+    _, many = searched(spark, monkeypatch, around_templates(rng, origin, 1600, 3))
+    assert few < 40 * len(texts) and many / 1600 < 1.5 * few / len(texts)  # all pairs would be 3.6 times as many a text
+
+
+def test_centres_of_a_group():
+    rng = np.random.default_rng(8)
+    own = [rng.choice(np.arange(10_000, 10**6), 20, replace=False) for _ in range(90)]
+    far = D.distances([np.sort(x).astype(np.uint64) for x in own])
+    assert all(far[i, j] == len(np.setxor1d(own[i], own[j])) for i, j in itertools.product(range(0, 90, 7), repeat=2))
+    assert D.centres([np.sort(x) for x in own]) == ([], False)  # nothing in common: the leader is the centre
+    shared = [np.sort(np.concatenate([x, np.arange(100)])) for x in own]
+    at, moved = D.centres(shared)
+    assert len(at) == 1 and moved
+    three = [np.sort(np.concatenate([x, np.arange(100) + 200 * (k % 3)])) if k % 3 else np.sort(x) for k, x in enumerate(own)]
+    at, moved = D.centres(three)
+    assert {k % 3 for k in at} == {1, 2} and len(at) == 2 and not moved
+    assert D.distances([np.zeros(0, np.uint64)] * 2).tolist() == [[0, 0], [0, 0]]
+
+
 def test_one_of_each_class_stays(spark):
     texts = sample()
     docs = clashing(documents(spark, texts))
